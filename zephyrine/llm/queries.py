@@ -7,13 +7,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing
+from . import chat, langid, media, packing, pii, stupid_backoff, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(spark, docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -36,9 +47,40 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = media.media_columns(table(spark, sf_dir, "documents"))
+    return members.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr("payload", F.length("payload") - 31, F.lit(32))).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(spark, docs, pii.train(docs), keep=[F.col("doc_id")])
+    counts = [pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = stupid_backoff.score(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(F.try_divide("log_score", "n_words"), 5).alias("word_score"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
+    "op7_media_columns": op7_media_columns,
+    "op8_pii": op8_pii,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
