@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import threading
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,35 +17,65 @@ from pyspark.sql import functions as F
 from .words import as_bytes
 
 #: Most words whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 #: Ids that one outgoing batch holds at most, but for a single document.
 BATCH_IDS = 2_000_000
 
+#: Words that the tokenizer leaves as one piece, and marks that are a piece each.
+_PLAIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), ".,;:!?"
+
 _lock = threading.Lock()
 _tokenizers: dict[str, "_Words"] = {}
 
 
 class _Words(dict):
-    """Word bytes to its ids as little-endian unsigned 32-bit integers. The tokenizer never joins across white space, so a text's ids are those of its words."""
+    """Words to numbers of pieces, which are ids as little-endian unsigned 32-bit integers. The tokenizer never joins across white space, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        with open(path, "rb") as file:
+            text = file.read().decode()
+        self.whole = Tokenizer.from_str(text)
+        # for words of small Latin letters alone nothing is to normalise or to split
+        plain = json.loads(text) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.pieces: list[bytes] = []
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self.pieces)
+        self.pieces.append(b"")
+        return number
+
+    def learn(self) -> None:
+        """Encode the new words; a plain word with one mark after it is the word and the mark."""
+        plain, other, marked = [], [], []
+        for word in self.new:  # grows meanwhile
+            text = word.decode()
+            if _PLAIN.fullmatch(text):
+                plain.append(text)
+            elif text[-1] in _MARKS and _PLAIN.fullmatch(text[:-1]):
+                marked.append((word, self[word[:-1]], self[word[-1:]]))
+            else:
+                other.append(text)
+        for tokenizer, texts in ((self.plain, plain), (self.whole, other)):
+            for text, found in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.pieces[self[text.encode()]] = array("I", found.ids).tobytes()
+        for word, a, b in marked:
+            self.pieces[self[word]] = self.pieces[a] + self.pieces[b]
+        self.new = []
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.pieces) > REMEMBERED:
+            self.clear()
+            self.pieces = []
         # lower case first shares more words; a text with an opening that could become a control token is left as it is
-        lists = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        self.learn({w for x in lists for w in x if w not in self})
-        return [b"".join(map(self.__getitem__, x)) for x in lists]
+        numbers = [list(map(self.__getitem__, (x if b"<|" in x else x.lower()).split())) for x in texts]
+        self.learn()
+        return [b"".join(map(self.pieces.__getitem__, x)) for x in numbers]
 
 
 def words_of(path: str) -> _Words:
