@@ -195,11 +195,12 @@ class SemiCrf:
             arrive[end] = np.logaddexp.reduce(ahead[end][:, None] + self.moves, axis=0)
         total = np.logaddexp.reduce(ahead[n])
         behind[n] = 0
+        expected = np.zeros_like(self.moves)
         for at in range(n - 1, 0, -1):
             leave = np.logaddexp.reduce([scores[at, s] + behind[at + s] for s in range(1, min(LONGEST, n - at) + 1)])
             behind[at] = np.logaddexp.reduce(self.moves + leave[None, :], axis=1)
-            p = np.exp(ahead[at][:, None] + self.moves + leave[None, :] - total)
-            self.moves -= rate * p
+            expected += np.exp(ahead[at][:, None] + self.moves + leave[None, :] - total)
+        self.moves -= rate * expected
         self.weights *= 1 - rate * decay
         for (i, s), score in scores.items():
             p = np.exp(arrive[i] + score + behind[i + s] - total)
