@@ -28,8 +28,8 @@ _PLAIN = bytes(ord(chr(c).lower()) if c > 127 or chr(c).isalnum() else 32 for c
 _END = np.uint64(0xE4D)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
+def plain(data: bytes) -> bytes:
+    return data.translate(_PLAIN)
 
 
 def repetitions(recall: float = RECALL, sample: int = SAMPLE, equal: float = EQUAL) -> int:
@@ -86,7 +86,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS, least_words: int = LEAST_WORDS, repeat: int | None = None):
         self.repeat = repetitions() if repeat is None else repeat
-        listed = [(i, Stream([(t or "").encode()], words_of).ids) for i, t in rows]
+        listed = [(i, Stream([(t or "").encode()], plain).ids) for i, t in rows]
         listed = [(i, w) for i, w in listed if len(w) >= least_words]
         self.ids = [i for i, _ in listed]
         self.words = [w for _, w in listed]
@@ -134,7 +134,7 @@ class Items:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item id, first word, number of words, distance) for each text and item that match, the nearest place of each."""
-        stream = Stream(texts, words_of)
+        stream = Stream(texts, plain)
         if not len(stream.ids) or not self.words:
             return []
         candidates: dict[tuple[int, int], set[int]] = defaultdict(set)

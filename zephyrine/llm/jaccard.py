@@ -23,15 +23,11 @@ BLOCK = 4096
 SETS = "doc_id bigint, sig bigint, n_shingles bigint, prefix array<bigint>, tokens binary"
 
 
-def _lower(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 class Sets:
     """Distinct shingles of documents, by shingle and then by document. Documents with fewer words than a shingle have all their words as one."""
 
     def __init__(self, texts: list[bytes], size: int = SHINGLE):
-        stream = Stream(texts, _lower)
+        stream = Stream(texts, bytes.lower)
         left, doc = stream.left(), stream.doc_of()
         keys, docs = [run_keys(stream.ids, size)[left[: max(len(left) - size + 1, 0)] >= size]], [doc[left >= size]]
         for n in range(1, size):

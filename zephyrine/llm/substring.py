@@ -101,7 +101,8 @@ def repeated(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_
         return windows(Stream(as_bytes(table.column("text"))), replies)[1], None
 
     def use(table: pa.Table, replies: pa.Table) -> pa.Table:
-        stream = Stream(as_bytes(table.column("text")))
+        texts = as_bytes(table.column("text"))
+        stream = Stream(texts)
         second = replies.filter(pa.compute.equal(replies.column("asked"), 2))
         starts, keys = windows(stream, replies.filter(pa.compute.equal(replies.column("asked"), 1)))
         starts = starts[totals(keys, second, bits) > 1] if len(keys) else starts
@@ -111,11 +112,12 @@ def repeated(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_
         gone = np.cumsum(edge[:-1]) > 0
         removed = np.bincount(stream.doc_of()[gone], minlength=len(stream.lengths))
         kept = []
-        for words, a, n in zip(stream.lists, stream.starts, removed, strict=False):
-            if n == len(words):
+        for text, a, n, size in zip(texts, stream.starts, removed, stream.lengths, strict=False):
+            if n == size:
                 kept.append(b"")
             else:
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone[a : a + len(words)])] if n else words))
+                words = text.split()
+                kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone[a : a + size])] if n else words))
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(stream.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     first = corpus.ask(of_anchors)
