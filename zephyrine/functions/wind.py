@@ -74,13 +74,13 @@ def bin_value(x: Column, width: float = 1.0, most: Column | float | None = None,
     if most is not None:
         most = F.lit(most) if not isinstance(most, Column) else most
         index = F.least(index, F.floor(most / width) + 1)
-    return index * width + (0.0 if centred else width / 2)
+    return F.when(x.isNotNull(), index * width + (0.0 if centred else width / 2))
 
 
 def bin_edges(most: Column | float, width: float = 1.0, *, centred: bool = False) -> Column:
     """Edges from 0 (half a bin before it if centred) up to past `most`."""
     most = F.lit(float(most)) if not isinstance(most, Column) else most
-    last = (F.floor(most / width) + (2 if centred else 1)).cast("int")
+    last = F.floor(most / width + (0.5 if centred else 0.0)).cast("int") + 1
     return F.transform(F.sequence(F.lit(0), last), lambda j: j * F.lit(float(width)) - (width / 2 if centred else 0.0))
 
 

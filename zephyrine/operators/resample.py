@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zephyrine.functions.wind import CIRCULAR, CUMULATIVE
 
 from .align import deduce_frequency
-from .stats import GROUP, as_rows, emd, error
+from .stats import GROUP, as_rows, emd, error, pearson
 
 #: Unit and least number of values of a period, for so many values an hour.
 UNITS = {"hourly": "hour", "daily": "day", "monthly": "month", "yearly": "year"}
@@ -45,7 +45,7 @@ def stats_in_resampling(pairs: DataFrame, period: str, per_hour: int | None, gro
     """length, r2 (over 2 periods), rmse, MAE, SAE (summed variables) and EMD (over 5), with the period's name behind an underscore."""
     rows = resampled_pairs(pairs, period, per_hour, group)
     e = F.col("new") - F.col("ref")
-    one = rows.groupBy(*group).agg(F.count("new").alias("n"), F.count("ref").alias("m"), F.corr("new", "ref").alias("corr"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.abs(e)).alias("sae"))
+    one = rows.groupBy(*group).agg(F.count("new").alias("n"), F.count("ref").alias("m"), pearson(F.col("new"), F.col("ref")).alias("corr"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.abs(e)).alias("sae"))
     metrics = [
         (f"length_{period}", F.col("n")),
         (f"r2_{period}", F.when(F.col("m") > 2, F.col("corr") * F.col("corr"))),

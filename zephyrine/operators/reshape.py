@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 _NAME = re.compile(r"^([A-Za-z]+)_(\d+(?:\.\d+)?)$")
 
 
+def _column(name: str) -> Column:
+    """A column whose name may hold dots."""
+    return F.col(f"`{name}`")
+
+
 def levels(df: DataFrame, names: list[str] | None = None) -> dict[str, dict[float, str]]:
     """Variable to height to column, from columns named VAR_height, by rising height."""
     found: dict[str, dict[float, str]] = {}
@@ -85,24 +90,24 @@ def mask_where(df: DataFrame, column: str, condition: Column, other=None) -> Dat
 
 def replace_inf(df: DataFrame) -> DataFrame:
     floats = [n for n, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({n: F.when(F.abs(F.col(n)) != float("inf"), F.col(n)) for n in floats})
+    return df.withColumns({n: F.when(F.abs(_column(n)) != float("inf"), _column(n)) for n in floats})
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [n for n, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in floats})
+    return df.withColumns({n: F.when(~F.isnan(_column(n)), _column(n)) for n in floats})
 
 
 def downcast32(df: DataFrame) -> DataFrame:
     """Doubles to floats, longs to ints."""
-    return df.withColumns({n: F.col(n).cast("float" if t == "double" else "int") for n, t in df.dtypes if t in ("double", "bigint")})
+    return df.withColumns({n: _column(n).cast("float" if t == "double" else "int") for n, t in df.dtypes if t in ("double", "bigint")})
 
 
 def low_std_columns(df: DataFrame, most: float = 1.0) -> DataFrame:
     """(column, std) of numeric columns whose sample deviation is at most `most`; columns without one are not listed. One pass."""
     numeric = [n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-    one = df.agg(*(F.stddev_samp(n).alias(n) for n in numeric))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).alias("std")) for n in numeric)))).where(F.col("std") <= most)
+    one = df.agg(*(F.stddev_samp(_column(n)).alias(n) for n in numeric))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("column"), _column(n).alias("std")) for n in numeric)))).where(F.col("std") <= most)
 
 
 def fillna_scalar_or_mean(df: DataFrame, column: str, fill: float | str, keys: tuple[str, ...] = ("source",)) -> DataFrame:

@@ -26,6 +26,17 @@ def error() -> Column:
     return F.when(_is(F.col("base"), CIRCULAR), wrap180(e)).otherwise(e)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation of the rows that have both; null where either does not vary, which the built-in function takes for an error."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Aggregate: slope of y over x, null where x does not vary."""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
 def _quantiles(x: Column, accuracy: int | None) -> Column:
     at = F.array(*(F.lit(q) for q in QUANTILES))
     return F.percentile(x, at) if accuracy is None else F.percentile_approx(x, list(QUANTILES), accuracy)
@@ -47,9 +58,9 @@ def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None,
         if quantiles:
             aggs[f"q_{side}"] = _quantiles(x, accuracy)
     if not distribution_only:
-        aggs |= {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "sae": F.sum(F.abs(e)), "corr": F.corr(turned, ref)}
+        aggs |= {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "sae": F.sum(F.abs(e)), "corr": pearson(turned, ref)}
         if linear_fit:
-            aggs |= {"slope": F.regr_slope(turned, ref), "intercept": F.regr_intercept(turned, ref)}
+            aggs |= {"slope": slope(turned, ref), "intercept": F.avg(F.when(ref.isNotNull(), turned)) - slope(turned, ref) * F.avg(F.when(turned.isNotNull(), ref))}
         if quantile_errors:
             aggs |= {"q_e": _quantiles(e, accuracy), "q_ae": _quantiles(F.abs(e), accuracy)}
         if "weight" in pairs.columns:

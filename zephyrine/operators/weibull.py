@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import derive, sector
 
-from .stats import as_rows, compare_stats, emd
+from .stats import as_rows, compare_stats, emd, pearson
 
 #: The Lanczos approximation of the gamma function with g = 7 and nine terms.
 _G = 7
@@ -124,7 +124,7 @@ def weibull_quality(values: DataFrame, fits: DataFrame, keys: list[str], *, colu
     bins = grid.join(counts, [*keys, "j"], "left").withColumn("b", (F.col("j") + 0.5) * width)
     bins = bins.withColumns({"ref": F.coalesce("n", F.lit(0)) / (F.col("total") * width), "new": density(F.col("b"), F.col("k"), F.col("A"))})
     e = F.col("new") - F.col("ref")
-    one = bins.groupBy(*keys).agg((F.sum(F.col("b") * F.col("new")) / F.sum("new") - F.first("xbar")).alias("fit_mbias"), F.sqrt(F.avg(e * e)).alias("fit_rmse"), F.sqrt(F.avg(F.abs(e))).alias("fit_MAE"), F.pow(F.corr("ref", "new"), 2).alias("fit_r2"))
+    one = bins.groupBy(*keys).agg((F.sum(F.col("b") * F.col("new")) / F.sum("new") - F.first("xbar")).alias("fit_mbias"), F.sqrt(F.avg(e * e)).alias("fit_rmse"), F.sqrt(F.avg(F.abs(e))).alias("fit_MAE"), F.pow(pearson(F.col("ref"), F.col("new")), 2).alias("fit_r2"))
     return one.join(emd(bins.select(*keys, "ref", "new"), keys).withColumnRenamed("emd", "fit_emd"), keys).select(*keys, "fit_mbias", "fit_rmse", "fit_MAE", "fit_emd", "fit_r2")
 
 
