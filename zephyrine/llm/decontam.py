@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ EDITS, LEAST_WORDS = 0.2, 5
 SAMPLE, EQUAL, RECALL = 3, 0.5, 0.999
 #: Most items that are broadcast at once; more are searched for block by block.
 ITEMS = 20_000
+#: Windows that are embedded at once, and documents that are searched at once.
+EMBEDDED, SEARCHED = 256, 4000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, n_words bigint, distance bigint"
 
 #: ASCII letters and digits in lower case, other ASCII as space, all else as it is.
@@ -36,31 +39,38 @@ def repetitions(recall: float = RECALL, sample: int = SAMPLE, equal: float = EQU
     return math.ceil(math.log(1 - recall) / math.log(1 - equal**sample))
 
 
-def embed(words: np.ndarray, repetition: int, positions: np.ndarray) -> np.ndarray:
-    """The symbols at rising positions of the embedding of each row of words (windows of one size), 3 x size long: the walk copies the symbol it stands on and a random bit of step and symbol says whether it moves on. Past the end it copies a filler."""
-    n, size = words.shape
+def embed(words: np.ndarray, sizes: np.ndarray, repeat: int, steps: int) -> np.ndarray:
+    """Symbols (step, repetition, row) of the embedding of each row of words, of which the first `sizes` count: the walk copies the symbol it stands on, and a random bit of repetition, step and symbol says whether it moves on. Past the end it copies a filler."""
+    n = len(words)
     padded = np.concatenate((words, np.full((n, 1), _END)), 1)
-    at, rows, out = np.zeros(n, np.int64), np.arange(n), []
-    for step in range(int(positions[-1]) + 1):
-        symbol = padded[rows, at]
-        if step in positions:
-            out.append(symbol)
-        coin = mix(symbol ^ np.uint64((repetition << 20) + step + 1)) >> np.uint64(63)
-        at = np.minimum(at + coin.astype(np.int64), size)
-    return np.stack(out, 1)
+    padded[np.arange(padded.shape[1]) >= sizes[:, None]] = _END
+    seeds = mix(np.arange(1, repeat + 1, dtype=np.uint64) << np.uint64(20))[:, None]
+    at, rows, out = np.zeros((repeat, n), np.int64), np.arange(n), np.empty((steps, repeat, n), np.uint64)
+    for step in range(steps):
+        symbol = out[step] = padded[rows, at]
+        coin = mix(symbol ^ (seeds + np.uint64(step))) >> np.uint64(63)
+        at = np.minimum(at + coin.astype(np.int64), sizes)
+    return out
 
 
-def sampled(size: int, repetition: int, sample: int = SAMPLE) -> np.ndarray:
-    return np.sort(np.random.default_rng((repetition, size)).choice(3 * size, min(sample, 3 * size), replace=False))
+@lru_cache(1024)
+def sampled(size: int, repeat: int, sample: int = SAMPLE) -> np.ndarray:
+    """Positions (repetition, sample) of the embedding, 3 x size long, that are compared."""
+    return np.stack([np.random.default_rng((r, size)).choice(3 * size, sample, replace=False) for r in range(repeat)])
 
 
-def buckets(words: np.ndarray, repetition: int) -> np.ndarray:
-    """Key of each row's sampled symbols in one repetition."""
-    symbols = embed(words, repetition, sampled(words.shape[1], repetition))
-    key = np.full(len(words), repetition, np.uint64)
-    for column in symbols.T:
-        key = join_keys(key, column)
-    return key
+def buckets(words: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
+    """Keys (row, repetition) of the sampled symbols of each row and of its size."""
+    out = np.empty((len(words), repeat), np.uint64)
+    for low in range(0, len(words), EMBEDDED):
+        part, size = words[low : low + EMBEDDED], sizes[low : low + EMBEDDED]
+        places = np.stack([sampled(int(m), repeat) for m in size], 1)  # repetition, row, sample
+        symbols = embed(part, size, repeat, int(places.max()) + 1)
+        key = (np.arange(repeat, dtype=np.uint64)[:, None] << np.uint64(32)) + size.astype(np.uint64)
+        for j in range(places.shape[2]):
+            key = join_keys(key, symbols[places[:, :, j], np.arange(repeat)[:, None], np.arange(len(part))])
+        out[low : low + EMBEDDED] = key.T
+    return out
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -102,53 +112,45 @@ class Items:
             marks = np.zeros(1 << 20, bool)
             marks[(key >> np.uint64(44)).astype(np.int64)] = True
             self.runs[size] = (marks, key[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order])
-        self.tables: dict[int, dict[int, list[int]]] = {}
-        by_size = defaultdict(list)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.longest = int(self.sizes.max(initial=0))
+        stack = np.full((len(self.words), self.longest), _END)
         for number, words in enumerate(self.words):
-            by_size[len(words)].append(number)
-        for size, numbers in by_size.items():
-            stack, table = np.stack([self.words[i] for i in numbers]), defaultdict(list)
-            for r in range(self.repeat):
-                for number, key in zip(numbers, buckets(stack, r).tolist(), strict=True):
-                    table[key].append(number)
-            self.tables[size] = dict(table)
-
-    def windows(self, stream: Stream) -> dict[int, np.ndarray]:
-        """By size, the starts (in the stream) of the windows that hold a run of an item of that size at its place in the item."""
-        left, out = stream.left(), defaultdict(list)
-        lengths = np.array([len(w) for w in self.words])
+            stack[number, : len(words)] = words
+        keys = buckets(stack, self.sizes, self.repeat).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers = keys[order], order // self.repeat
+
+    def windows(self, stream: Stream) -> tuple[np.ndarray, np.ndarray]:
+        """(start in the stream, size) of the windows that hold a run of an item of that size at its place in the item."""
+        left, found = stream.left(), []
         for size, (marks, keys, number, offset) in self.runs.items():
             here = run_keys(stream.ids, size)
-            some = np.flatnonzero(marks[(here >> np.uint64(44)).astype(np.int64)])
+            some = np.flatnonzero(marks[(here >> np.uint64(44)).view(np.int64)])
             some = some[left[some] >= size]
             first, last = np.searchsorted(keys, here[some]), np.searchsorted(keys, here[some], "right")
             n = last - first
-            total = int(n.sum())
-            if not total:
-                continue
-            entry = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            start, item = np.repeat(some, n) - offset[entry], number[entry]
-            for m in np.unique(lengths[item]):
-                out[int(m)].append(start[lengths[item] == m])
-        return {m: np.unique(np.concatenate(x)) for m, x in out.items()}
+            entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found.append(np.stack((np.repeat(some, n) - offset[entry], self.sizes[number[entry]]), 1))
+        every = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return every[:, 0], every[:, 1]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item id, first word, number of words, distance) for each text and item that match, the nearest place of each."""
         stream = Stream(texts, plain)
         if not len(stream.ids) or not self.words:
             return []
+        starts, sizes = self.windows(stream)
+        # a window may reach over its document's ends; what is outside is filler
+        doc = np.searchsorted(stream.starts, np.clip(starts + sizes // 2, 0, len(stream.ids) - 1), "right") - 1
+        at = starts[:, None] + np.arange(self.longest)
+        outside = (at < stream.starts[doc][:, None]) | (at >= stream.starts[doc + 1][:, None])
+        keys = buckets(np.where(outside, _END, stream.ids[np.clip(at, 0, len(stream.ids) - 1)]), sizes, self.repeat)
+        first, last = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for size, starts in self.windows(stream).items():
-            # a window may reach over its document's ends; what is outside is filler
-            doc = np.searchsorted(stream.starts, np.clip(starts + size // 2, 0, len(stream.ids) - 1), "right") - 1
-            at = starts[:, None] + np.arange(size)
-            outside = (at < stream.starts[doc][:, None]) | (at >= stream.starts[doc + 1][:, None])
-            words = np.where(outside, _END, stream.ids[np.clip(at, 0, len(stream.ids) - 1)])
-            table = self.tables[size]
-            for r in range(self.repeat):
-                for i, key in enumerate(buckets(words, r).tolist()):
-                    for item in table.get(key, ()):
-                        candidates[int(doc[i]), item].add(int(starts[i]))
+        for row, repetition in zip(*np.nonzero(last > first), strict=True):
+            for number in self.numbers[first[row, repetition] : last[row, repetition]]:
+                candidates[int(doc[row]), int(number)].add(int(starts[row]))
         out = []
         for (doc, item), starts in sorted(candidates.items()):
             k, words = self.most[item], self.words[item]
@@ -192,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         def search(batches, shared=shared):
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-                found = [(ids[at + d], *rest) for at in range(0, len(texts), 1000) for d, *rest in shared.value.search(texts[at : at + 1000])]
+                found = [(ids[at + d], *rest) for at in range(0, len(texts), SEARCHED) for d, *rest in shared.value.search(texts[at : at + SEARCHED])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * 5)], names)
 
         part = rows.mapInArrow(search, SCHEMA)
