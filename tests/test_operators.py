@@ -141,7 +141,7 @@ def test_weibull_recovery(spark):
     r = np.random.default_rng(1)
     rows = [("a", at(i), float(x), 0.0) for i, x in enumerate(9 * r.weibull(2.1, 20_000))] + [("b", at(i), 1.0, 0.0) for i in range(9)] + [("c", at(i), 3.2, 0.0) for i in range(20)]
     df = spark.createDataFrame(rows, SERIES)
-    for method in ("params", "scipy", "vtx_operative"):
+    for method in ("params", "values", "histogram"):
         got = {x.source: x for x in weibull.weibull_fit(df, ["source"], method=method).collect()}
         assert abs(got["a"].k - 2.1) < 0.06 and abs(got["a"].A - 9) < 0.12 and got["b"].k is None and got["c"].k is None
     assert math.isclose(spark.range(1).select(weibull.gamma(F.lit(4.5)).alias("g")).first().g, math.gamma(4.5), rel_tol=1e-12)

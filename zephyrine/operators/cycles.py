@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import deduce_frequency, variables
-from .stats import compare_stats
+from .stats import as_pairs, compare_stats
 
 _STATS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "std": F.stddev_samp, "count": F.count}
 
@@ -41,17 +41,20 @@ def seasonal_daily_cycle(series: DataFrame, names: list[str] | None = None, *, s
     return cells.select("source", "month", "hour", *kept, "count")
 
 
-def compare_seasonal_daily_cycle(series: DataFrame, ref: str, names: list[str] | None = None, *, stat: str = "mean", normalized: bool | str = "all", min_days: int = 20, **options) -> DataFrame:
-    """Metrics of {var}[_norm][_{stat}]_mthhr over cells that both have, and of _mth and _hr over the means by month and by hour; normalized `all` gives both forms."""
+def cycle_pairs(series: DataFrame, ref: str, names: list[str] | None = None, *, stat: str = "mean", normalized: bool | str = "all", min_days: int = 20) -> DataFrame:
+    """Pairs {var}[_norm][_{stat}]_mthhr over cells that both have, and _mth and _hr over the means by month and by hour; normalized `all` gives both forms."""
     if normalized == "all":
-        one, two = (compare_seasonal_daily_cycle(series, ref, names, stat=stat, normalized=n, min_days=min_days, **options) for n in (False, True))
+        one, two = (cycle_pairs(series, ref, names, stat=stat, normalized=n, min_days=min_days) for n in (False, True))
         return one.unionByName(two)
     cells = seasonal_daily_cycle(series, names, stat=stat, min_days=min_days, normalized=bool(normalized))
     kept = [c for c in cells.columns if c not in ("source", "month", "hour", "count")]
-    long = cells.select("source", "month", "hour", F.inline(F.array(*(F.struct(F.lit(n).alias("base"), F.col(n).alias("x")) for n in kept))))
-    # a cell counts if all of its variables have a value
-    complete = cells.na.drop("any", subset=kept).select("source", "month", "hour")
-    parts = [long.join(complete, ["source", "month", "hour"]).withColumn("kind", F.lit("_mthhr"))]
+    values = F.array(*(F.struct(F.lit(n).alias("base"), F.col(n).alias("x")) for n in kept))
+    # a cell counts for itself if all of its variables have a value; the means take what there is
+    whole = F.lit(True)
+    for n in kept:
+        whole = whole & F.col(n).isNotNull()
+    long = cells.select("source", "month", "hour", whole.alias("whole"), F.inline(values))
+    parts = [long.where("whole").select("source", "base", "month", "hour", "x", F.lit("_mthhr").alias("kind"))]
     for kind, by in (("_mth", "month"), ("_hr", "hour")):
         other = "hour" if by == "month" else "month"
         parts.append(long.groupBy("source", "base", by).agg(F.avg("x").alias("x")).withColumns({other: F.lit(-1), "kind": F.lit(kind)}).select(*parts[0].columns))
@@ -60,9 +63,11 @@ def compare_seasonal_daily_cycle(series: DataFrame, ref: str, names: list[str] |
     left = rows.where(F.col("source") == ref).select(*keys, F.col("x").alias("ref"))
     both = rows.where(F.col("source") != ref).join(left, keys)
     middle = ("_norm" if normalized else "") + ("" if stat == "mean" else "_" + stat)
-    pairs = both.select("source", F.concat("base", F.lit(middle), "kind").alias("var"), "base", "ref", F.col("x").alias("new"))
-    return compare_stats(pairs, base=F.col("base"), **options)
+    return as_pairs(both.select("source", F.concat("base", F.lit(middle), "kind").alias("var"), "base", "ref", F.col("x").alias("new")))
+
 
+def compare_seasonal_daily_cycle(series: DataFrame, ref: str, names: list[str] | None = None, *, stat: str = "mean", normalized: bool | str = "all", min_days: int = 20, **options) -> DataFrame:
+    """Metrics of the pairs of cycle_pairs."""
+    rows = cycle_pairs(series, ref, names, stat=stat, normalized=normalized, min_days=min_days)
+    return compare_stats(rows.drop("weight"), base=F.col("base"), **options)
 
-def normalise(column: Column, whole: Column) -> Column:
-    return 100 * (F.try_divide(column, whole) - 1)

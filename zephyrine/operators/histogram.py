@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import derive, sector, truncated_speed
 
-from .stats import compare_stats
+from .stats import as_pairs, compare_stats
 
 GRID = ("speed", "direction")
 
 
+def least_cells() -> Column:
+    """Rows that a comparison needs, by var."""
+    return F.when(F.col("var") == "TAB_relpop", 3).otherwise(2)
+
+
 def distribution(series: DataFrame, *, sectors: int = 16, max_bin: int | None = None, include_top_bin: bool = False) -> DataFrame:
     """(source, speed, direction, n): rows by whole speed (at its middle) and sector, zeros included.
 
@@ -41,13 +46,17 @@ def bin_population(dist: DataFrame, *, top: float | None = None, min_samples: in
     return full.select("source", *GRID, F.try_divide(F.when(F.col("n") > min_samples, 100.0 * F.col("n")).otherwise(F.lit(0.0)), whole).alias("population"))
 
 
-def compare_tabfiles(series: DataFrame, ref: str, *, sectors: int = 16, max_bin: int | None = None, min_samples: int = 15, relative: bool = False, **options) -> DataFrame:
-    """Metrics of TAB_pop, and of TAB_relpop: shares relative to the reference's where that has more than 1 %; the reference side is 100 throughout (Q20), so it has no r2, and fewer than 3 cells give none."""
+def tabfile_pairs(series: DataFrame, ref: str, *, sectors: int = 16, max_bin: int | None = None, min_samples: int = 15, relative: bool = False) -> DataFrame:
+    """Pairs TAB_pop, and TAB_relpop: shares relative to the reference's where that has more than 1 %; the reference side is 100 throughout (Q20), so it has no r2."""
     shares = bin_population(distribution(series, sectors=sectors, max_bin=max_bin), top=max_bin, min_samples=min_samples)
     left = shares.where(F.col("source") == ref).select(*GRID, F.col("population").alias("ref"))
     both = shares.where(F.col("source") != ref).join(F.broadcast(left), list(GRID)).select("source", F.lit("TAB_pop").alias("var"), "ref", F.col("population").alias("new")).where("ref is not null and new is not null")
-    out = compare_stats(both, **options)
     if relative:
-        part = both.where("ref > 1").select("source", F.lit("TAB_relpop").alias("var"), F.lit(100.0).alias("ref"), (100 * F.col("new") / F.col("ref")).alias("new"))
-        out = out.unionByName(compare_stats(part, least=3, **options))
-    return out
+        both = both.unionByName(both.where("ref > 1").select("source", F.lit("TAB_relpop").alias("var"), F.lit(100.0).alias("ref"), (100 * F.col("new") / F.col("ref")).alias("new")))
+    return as_pairs(both)
+
+
+def compare_tabfiles(series: DataFrame, ref: str, *, sectors: int = 16, max_bin: int | None = None, min_samples: int = 15, relative: bool = False, **options) -> DataFrame:
+    """Metrics of the pairs of tabfile_pairs; fewer than 3 cells of TAB_relpop give none."""
+    rows = tabfile_pairs(series, ref, sectors=sectors, max_bin=max_bin, min_samples=min_samples, relative=relative)
+    return compare_stats(rows.drop("weight"), base=F.col("base"), least=least_cells(), **options)

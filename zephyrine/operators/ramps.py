@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import wrap180_closed
 
 from .align import pairs, regularize, time_match_sources, variables
 from .cycles import compare_seasonal_daily_cycle
-from .stats import compare_stats
+from .stats import as_pairs, compare_stats
 from .windows import CHUNK, chunked, frame
 
 #: Fixed value: minutes beyond which a series is too coarse for ramps and noise.
@@ -48,19 +48,26 @@ def noise(series: DataFrame, names: list[str] | None = None, *, inner: int = 3,
     return out.na.fill(float(fill), subset=[f"{n}-noise" for n in names])
 
 
-def _compare(made: DataFrame, ref: str, least: int, cycle: bool, suffix: str, options: dict) -> DataFrame:
-    matched = time_match_sources(made)
-    rows = pairs(matched, ref)
-    out = compare_stats(rows, base=F.replace(F.col("var"), F.lit(suffix), F.lit("")), least=max(least, 2), **options)
-    if cycle:
-        out = out.unionByName(compare_seasonal_daily_cycle(matched, ref))
-    return out
+def least_steps() -> Column:
+    """Rows that a comparison needs, by var."""
+    return F.when(F.col("var").endswith("-ramp"), 10).otherwise(2)
+
+
+def change_pairs(made: DataFrame, ref: str) -> DataFrame:
+    """Pairs of ramps or noise at times that all have; the variable that they are of is the base."""
+    rows = pairs(time_match_sources(made), ref)
+    return as_pairs(rows.withColumn("base", F.regexp_replace("var", "-(ramp|noise)$", "")))
+
+
+def _compare(made: DataFrame, ref: str, cycle: bool, options: dict) -> DataFrame:
+    out = compare_stats(change_pairs(made, ref).drop("weight"), base=F.col("base"), least=least_steps(), **options)
+    return out.unionByName(compare_seasonal_daily_cycle(time_match_sources(made), ref)) if cycle else out
 
 
 def compare_ramps(series: DataFrame, ref: str, names: list[str] | None = None, *, cycle: bool = False, **options) -> DataFrame:
-    """Metrics of ramps at times that all have; variables with fewer than 10 have none."""
-    return _compare(ramps(series, names), ref, 10, cycle, "-ramp", options)
+    """Metrics of ramps; variables with fewer than 10 have none."""
+    return _compare(ramps(series, names), ref, cycle, options)
 
 
 def compare_noise(series: DataFrame, ref: str, names: list[str] | None = None, *, cycle: bool = False, **options) -> DataFrame:
-    return _compare(noise(series, names), ref, 2, cycle, "-noise", options)
+    return _compare(noise(series, names), ref, cycle, options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,27 @@ def resampled_pairs(pairs: DataFrame, period: str, per_hour: int | None, group=G
     return by.agg(*sides)
 
 
-def stats_in_resampling(pairs: DataFrame, period: str, per_hour: int | None, group=GROUP) -> DataFrame:
-    """length, r2 (over 2 periods), rmse, MAE, SAE (summed variables) and EMD (over 5), with the period's name behind an underscore."""
-    rows = resampled_pairs(pairs, period, per_hour, group)
+def stats_in_resamplings(pairs: DataFrame, periods: list[str], per_hour: int | None, group=GROUP) -> DataFrame:
+    """length, r2 (over 2 periods), rmse, MAE, SAE (summed variables) and EMD (over 5), with the period's name behind an underscore. All periods go through one aggregate."""
+    group = list(group)
+    rows = reduce(DataFrame.unionByName, (resampled_pairs(pairs, p, per_hour, group).select(*group, F.lit(p).alias("period"), "ref", "new") for p in periods))
+    keys = [*group, "period"]
     e = F.col("new") - F.col("ref")
-    one = rows.groupBy(*group).agg(F.count("new").alias("n"), F.count("ref").alias("m"), pearson(F.col("new"), F.col("ref")).alias("corr"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.abs(e)).alias("sae"))
+    one = rows.groupBy(*keys).agg(F.count("new").alias("n"), F.count("ref").alias("m"), pearson(F.col("new"), F.col("ref")).alias("corr"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.abs(e)).alias("sae"))
     metrics = [
-        (f"length_{period}", F.col("n")),
-        (f"r2_{period}", F.when(F.col("m") > 2, F.col("corr") * F.col("corr"))),
-        (f"rmse_{period}", F.col("rmse")),
-        (f"MAE_{period}", F.col("mae")),
-        (f"SAE_{period}", F.when(F.col("var").isin(*SUMMED), F.col("sae"))),
+        ("length", F.col("n")),
+        ("r2", F.when(F.col("m") > 2, F.col("corr") * F.col("corr"))),
+        ("rmse", F.col("rmse")),
+        ("MAE", F.col("mae")),
+        ("SAE", F.when(F.col("var").isin(*SUMMED), F.col("sae"))),
     ]
-    distances = emd(rows, group).join(one.where("m > 5").select(*group), list(group), "left_semi")
-    return as_rows(one, group, metrics).unionByName(distances.select(*group, F.lit(f"EMD_{period}").alias("metric"), F.col("emd").alias("value")))
+    distances = emd(rows, keys).join(one.where("m > 5").select(*keys), keys, "left_semi")
+    out = as_rows(one, keys, metrics).unionByName(distances.select(*keys, F.lit("EMD").alias("metric"), F.col("emd").alias("value")))
+    return out.select(*group, F.concat_ws("_", "metric", "period").alias("metric"), "value")
+
+
+def stats_in_resampling(pairs: DataFrame, period: str, per_hour: int | None, group=GROUP) -> DataFrame:
+    return stats_in_resamplings(pairs, [period], per_hour, group)
 
 
 def per_hour(series: DataFrame, source: str) -> int:

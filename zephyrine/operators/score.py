@@ -9,12 +9,12 @@ from zephyrine.functions.wind import derive
 from zephyrine.session import cut
 
 from .align import KEYS, pairs, time_match_sources, variables
-from .cycles import compare_seasonal_daily_cycle
-from .histogram import compare_tabfiles
-from .ramps import compare_noise, compare_ramps
-from .resample import UNITS, per_hour, stats_in_resampling
-from .stats import compare_stats
-from .weibull import compare_weibulls
+from .cycles import cycle_pairs
+from .histogram import least_cells, tabfile_pairs
+from .ramps import change_pairs, least_steps, noise, ramps
+from .resample import UNITS, per_hour, stats_in_resamplings
+from .stats import as_pairs, compare_stats
+from .weibull import weibull_rows
 
 #: Variable, metric, the value that scores 10, the value that scores 0, weight.
 RULES = (
@@ -166,32 +166,38 @@ def with_variables(series: DataFrame, names=VARIABLES, *, strict: bool = False)
     return series.select(*KEYS, *columns)
 
 
-#: Extra validations by name; windprofile needs several heights and is passed over, unknown names too.
+#: Extra validations by name: (metrics or None, pairs) of each. windprofile needs several heights and is passed over, unknown names too.
 EXTRAS = {
-    "tabfile": compare_tabfiles,
-    "weibull": compare_weibulls,
-    "season_day": lambda series, ref, **k: compare_seasonal_daily_cycle(series, ref, ["M"], **k),
-    "ramps": lambda series, ref, **k: compare_ramps(series, ref, ["M"], **k),
-    "noise": lambda series, ref, **k: compare_noise(series, ref, ["M"], **k),
+    "tabfile": lambda series, ref, **k: (None, tabfile_pairs(series, ref, **k)),
+    "weibull": lambda series, ref, **k: weibull_rows(series, ref, **k),
+    "season_day": lambda series, ref, **k: (None, cycle_pairs(series, ref, ["M"], **k)),
+    "ramps": lambda series, ref, **k: (None, change_pairs(ramps(series, ["M"], **k), ref)),
+    "noise": lambda series, ref, **k: (None, change_pairs(noise(series, ["M"], **k), ref)),
 }
 
 
 def all_sources_stats(series: DataFrame, ref: str, names=None, *, extras: dict[str, dict] | None = None, periods=tuple(UNITS), info: dict[str, str] | None = None, **options) -> DataFrame:
-    """Metrics of each variable of each source at the times that all sources have, of its resampled periods, and of the named extras. info: constant columns."""
+    """Metrics of each variable of each source at the times that all sources have, of its resampled periods, and of the named extras. info: constant columns. The pairs of all of them go through one comparison."""
     # written once: five comparisons read the matched rows, and derived expressions would be copied into every aggregate
     matched = cut(time_match_sources(series), "matched")
     rows = cut(pairs(with_variables(matched, names or variables(matched)), ref), "pairs")
-    out = compare_stats(rows, **options)
-    rate = per_hour(matched, ref) if periods else 0
-    for period in periods:
-        if period == "hourly" and rate == 1:
-            same = out.where(F.col("metric").isin("length", "r2", "rmse", "MAE", "SAE", "EMD"))
-            out = out.unionByName(same.withColumn("metric", F.concat("metric", F.lit("_hourly"))))
-        else:
-            out = out.unionByName(stats_in_resampling(rows, period, rate))
+    every, more = as_pairs(rows), []
     for name, keywords in (extras or {}).items():
         if name in EXTRAS:
-            out = out.unionByName(EXTRAS[name](matched, ref, **keywords))
+            ready, new = EXTRAS[name](matched, ref, **keywords)
+            # small tables of their own: one plan of everything would be planned anew after each of its many stages
+            every, more = every.unionByName(cut(new, name)), more + ([cut(ready, name)] if ready is not None else [])
+    least = F.greatest(least_cells(), least_steps())
+    out = compare_stats(every if extras else every.drop("weight"), base=F.col("base"), least=least, **options)
+    for ready in more:
+        out = out.unionByName(ready)
+    rate = per_hour(matched, ref) if periods else 0
+    resampled = [p for p in periods if p != "hourly" or rate != 1]
+    if len(resampled) < len(periods):  # an hourly series is its own hourly mean
+        same = out.where(F.col("metric").isin("length", "r2", "rmse", "MAE", "SAE", "EMD")).join(F.broadcast(rows.select("var").distinct()), "var", "left_semi")
+        out = out.unionByName(same.withColumn("metric", F.concat("metric", F.lit("_hourly"))))
+    if resampled:
+        out = out.unionByName(stats_in_resamplings(rows, resampled, rate))
     for k, v in (info or {}).items():
         out = out.withColumn(k, F.lit(v))
     return out
@@ -205,5 +211,5 @@ def score(solution: DataFrame, submission: DataFrame) -> tuple[DataFrame, DataFr
     """(quality by rule, total) of a submission against a solution, both (time, M, Dir)."""
     both = solution.select(F.lit("ref").alias("source"), "time", "M", "Dir").unionByName(submission.select(F.lit("new").alias("source"), "time", "M", "Dir"))
     stats = all_sources_stats(both, "ref", VARIABLES, extras=SCORE_EXTRAS, periods=("hourly", "daily", "monthly", "yearly"))
-    quality = cut(compute_quality(deduced_stats(stats)), "quality")
+    quality = compute_quality(deduced_stats(cut(stats, "stats")))
     return quality, total_quality(quality)

@@ -42,8 +42,8 @@ def _quantiles(x: Column, accuracy: int | None) -> Column:
     return F.percentile(x, at) if accuracy is None else F.percentile_approx(x, list(QUANTILES), accuracy)
 
 
-def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None, quantiles: bool = True, quantile_errors: bool = True, linear_fit: bool = True, distance: bool = True, distribution_only: bool = False, accuracy: int | None = None, least: int = 2) -> DataFrame:
-    """Metrics of each group. base names the variable whose rules apply (var itself unless given). With fewer than `least` rows a group has none.
+def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None, quantiles: bool = True, quantile_errors: bool = True, linear_fit: bool = True, distance: bool = True, distribution_only: bool = False, accuracy: int | None = None, least: int | Column = 2) -> DataFrame:
+    """Metrics of each group. base names the variable whose rules apply (var itself unless given). With fewer than `least` rows (a number, or a Column of var) a group has none.
 
     length counts rows with nulls; means and quantiles take each side by itself, errors take pairs. Quantities without a value are left out. accuracy: quantiles by percentile_approx instead of exactly, for groups whose distinct values don't fit into a task. weighted_MAE is the root of the weighted mean error.
     """
@@ -133,3 +133,13 @@ def emd(pairs: DataFrame, group=GROUP, buckets: int = 1024) -> DataFrame:
     ends = ends.select(*group, "bucket", F.coalesce(F.sum("w").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(across).alias("next"))
     area = F.abs(F.col("before") + F.col("run")) * (F.coalesce("after", "next") - F.col("v"))
     return inside.join(ends, [*group, "bucket"]).groupBy(*group).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("emd"))
+
+
+#: Columns of pairs that go through one comparison together.
+PAIRS = ("source", "var", "base", "ref", "new", "weight")
+
+
+def as_pairs(rows: DataFrame) -> DataFrame:
+    """rows with all of PAIRS: var is its own base, and there are no weights, unless rows say so."""
+    extra = {"base": F.col("var"), "weight": F.lit(None).cast("double")}
+    return rows.withColumns({k: v for k, v in extra.items() if k not in rows.columns}).select(*PAIRS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import derive, sector
 
-from .stats import as_rows, compare_stats, emd, pearson
+from .stats import as_pairs, as_rows, compare_stats, emd, pearson
 
 #: The Lanczos approximation of the gamma function with g = 7 and nine terms.
 _G = 7
@@ -81,10 +81,10 @@ def weibull_params(hist: DataFrame, keys: list[str]) -> DataFrame:
     return fits.withColumn("A", _scale(F.col("bins"), F.col("k"))).select(*keys, "mean", "variance", "k", "A", F.col("count").cast("bigint").alias("count"))
 
 
-def weibull_fit(values: DataFrame, keys: list[str], *, method: str = "vtx_operative", column: str = "M") -> DataFrame:
+def weibull_fit(values: DataFrame, keys: list[str], *, method: str = "histogram", column: str = "M") -> DataFrame:
     """(keys, mean, variance, k, A, count) of a column. Fewer than 10 values give nulls but for the count.
 
-    `params`: from mean and deviation. `scipy`: likelihood of the values as they are; equal values are counted first. `vtx_operative`: likelihood of the histogram with bins of 1 m/s, whose mean and variance are returned too. Values of 0 or less have no likelihood and are left out of the fit.
+    `params`: from mean and deviation. `values`: likelihood of the values as they are; equal values are counted first. `histogram`: likelihood of the histogram with bins of 1 m/s, whose mean and variance are returned too. Values of 0 or less have no likelihood and are left out of the fit.
     """
     some = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("x"))
     plain = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
@@ -92,16 +92,16 @@ def weibull_fit(values: DataFrame, keys: list[str], *, method: str = "vtx_operat
     if method == "params":
         k = F.pow(F.try_divide(F.sqrt("variance"), F.col("mean")), -1.086)
         fits = plain.withColumn("k", F.when(F.col("variance") > 0, k)).withColumn("A", F.col("mean") / gamma(1 + 1 / F.col("k")))
-    elif method in ("scipy", "vtx_operative"):
-        b = F.col("x") if method == "scipy" else F.floor("x") + 0.5
+    elif method in ("values", "histogram"):
+        b = F.col("x") if method == "values" else F.floor("x") + 0.5
         own = weibull_params(some.groupBy(*keys, b.alias("b")).agg(F.count(F.lit(1)).alias("n")), keys).drop("count")
-        fits = plain.drop("mean", "variance").join(own, keys, "left") if method == "vtx_operative" else plain.join(own.select(*keys, "k", "A"), keys, "left")
+        fits = plain.drop("mean", "variance").join(own, keys, "left") if method == "histogram" else plain.join(own.select(*keys, "k", "A"), keys, "left")
     else:
         raise ValueError(f"method {method}")
     return fits.select(*keys, *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "variance", "k", "A")), "count")
 
 
-def weibull_ds(series: DataFrame, *, sectors: int | None = None, method: str = "vtx_operative") -> DataFrame:
+def weibull_ds(series: DataFrame, *, sectors: int | None = None, method: str = "histogram") -> DataFrame:
     """(source, sector, mean, variance, k, A, count): the fit over all (sector null), and by sector (its middle in degrees)."""
     rows = series.select("source", derive(series, "M").alias("M"), *([] if sectors is None else [sector(derive(series, "Dir"), sectors).alias("s")]))
     out = weibull_fit(rows, ["source"], method=method).withColumn("sector", F.lit(None).cast("double"))
@@ -128,19 +128,21 @@ def weibull_quality(values: DataFrame, fits: DataFrame, keys: list[str], *, colu
     return one.join(emd(bins.select(*keys, "ref", "new"), keys).withColumnRenamed("emd", "fit_emd"), keys).select(*keys, "fit_mbias", "fit_rmse", "fit_MAE", "fit_emd", "fit_r2")
 
 
-def compare_weibulls(series: DataFrame, ref: str, *, sectors: int | None = None, method: str = "vtx_operative", **options) -> DataFrame:
-    """mean, bias and factor of A and k; with sectors the metrics of A_sector and k_sector, weighted by the new source's counts."""
+def weibull_rows(series: DataFrame, ref: str, *, sectors: int | None = None, method: str = "histogram") -> tuple[DataFrame, DataFrame]:
+    """(mean, bias and factor of A and k as metrics, pairs of A_sector and k_sector weighted by the new source's counts)."""
     fits = weibull_ds(series, sectors=sectors, method=method)
     left = fits.where(F.col("source") == ref).select("sector", F.col("A").alias("rA"), F.col("k").alias("rk"))
     right = fits.where(F.col("source") != ref)
     both = right.alias("n").join(F.broadcast(left.alias("r")), F.col("n.sector").eqNullSafe(F.col("r.sector"))).select("source", F.col("n.sector").alias("sector"), "A", "k", "rA", "rk", "count")
     rows = both.select("source", "sector", "count", F.inline(F.array(*(F.struct(F.lit(v).alias("var"), F.col("r" + v).alias("ref"), F.col(v).alias("new")) for v in ("A", "k")))))
-    whole = rows.where("sector is null")
-    out = as_rows(whole, ("source", "var"), [("mean", F.col("new")), ("bias", F.col("new") - F.col("ref")), ("factor", F.try_divide(F.col("ref"), F.col("new")))])
-    if sectors:
-        by = rows.where("sector is not null").select("source", F.concat("var", F.lit("_sector")).alias("var"), "ref", "new", F.col("count").cast("double").alias("weight"))
-        out = out.unionByName(compare_stats(by, **options))
-    return out
+    whole = as_rows(rows.where("sector is null"), ("source", "var"), [("mean", F.col("new")), ("bias", F.col("new") - F.col("ref")), ("factor", F.try_divide(F.col("ref"), F.col("new")))])
+    by = rows.where("sector is not null").select("source", F.concat("var", F.lit("_sector")).alias("var"), "ref", "new", F.col("count").cast("double").alias("weight"))
+    return whole, as_pairs(by)
+
+
+def compare_weibulls(series: DataFrame, ref: str, *, sectors: int | None = None, method: str = "histogram", **options) -> DataFrame:
+    whole, by = weibull_rows(series, ref, sectors=sectors, method=method)
+    return whole.unionByName(compare_stats(by, base=F.col("base"), **options)) if sectors else whole
 
 
 def apply_by_sectors(df: DataFrame, aggs: dict[str, Column], *, sectors: int = 16, keys: list[str] | None = None) -> DataFrame:

@@ -515,7 +515,7 @@ def _(spark, sf_dir):
 
 @query("weibull_values", shown(_bisect_sql(f"SELECT source, round(M, 2) AS M FROM ({SQL['wind']})", "M") + " SELECT * FROM fit", "source:s k:d A:d"))
 def _(spark, sf_dir):
-    return weibull.weibull_fit(fixtures.wind(spark).withColumn("M", F.round("M", 2)).where("M > 0"), ["source"], method="scipy").select("source", "k", "A")
+    return weibull.weibull_fit(fixtures.wind(spark).withColumn("M", F.round("M", 2)).where("M > 0"), ["source"], method="values").select("source", "k", "A")
 
 
 @query("weibull_sectors", shown(_bisect_sql(f"SELECT concat(source, CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16) AS source, M FROM ({SQL['wind']})", "floor(M) + 0.5") + " SELECT * FROM fit", FIT))
