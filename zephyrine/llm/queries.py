@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, kneser_ney, langid, media, packing, pii, stupid_backoff, substring
+from . import chat, decontam, jaccard, kneser_ney, langid, media, packing, pii, sql, stupid_backoff, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,9 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": sql.SUBSTRING,
+    "op5_chat_formatting": sql.CHAT,
+    "op9_jaccard_join": sql.JACCARD,
+    "op10_lm_scoring": sql.BACKOFF,
+}
