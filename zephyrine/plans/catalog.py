@@ -736,3 +736,85 @@ def _(spark, sf_dir):
     rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).select(F.col("event_type").alias("source"), F.col("ts").alias("time"), F.col("value").alias("M"))
     run_available(stream_resample(rows, ["M"]), f"{folder}/out", f"{folder}/state", mode="complete")
     return spark.read.parquet(f"{folder}/out")
+
+
+# --- sources, sinks and what is left
+
+
+@query("read_series_csv", shown(f"SELECT * FROM ({SQL['wide']})", "sample:l time:s U_10.00:d U_50.00:d U_100.00:d V_10.00:d V_50.00:d V_100.00:d M:d Dir:d"))
+def _(spark, sf_dir):
+    import uuid
+
+    from zephyrine.session import shared_dir
+
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    fixtures.wide(spark, sf_dir).write.option("header", True).csv(path)
+    return sources.read_series_csv(spark, path, sources.T.StructType.fromDDL("sample bigint, time timestamp_ntz, `U_10.00` double, `U_50.00` double, `U_100.00` double, `V_10.00` double, `V_50.00` double, `V_100.00` double, M double, Dir double"))
+
+
+@query("frame_from_memory", shown("SELECT * FROM (VALUES (1, 2.5::DOUBLE), (2, NULL), (3, NULL)) AS x(k, v)", "k:l v:d"))
+def _(spark, sf_dir):
+    return sources.frame_from_memory(spark, [(1, 2.5), (2, float("nan")), (3, None)], "k long, v double")
+
+
+@query("write_parquet", shown(f"SELECT * FROM ({SQL['hourly']})", SERIES))
+def _(spark, sf_dir):
+    import uuid
+
+    from zephyrine.session import shared_dir
+
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    sources.write_parquet(fixtures.hourly(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query("add_level", shown(f"SELECT *, 70.0 AS lev FROM ({SQL['hourly']})", f"{SERIES} lev:d"))
+def _(spark, sf_dir):
+    return reshape.add_level(fixtures.hourly(spark, sf_dir))
+
+
+@query("drop_targets", shown(f"SELECT sample, time, \"U_10.00\" FROM ({SQL['wide']})", "sample:l time:s U_10.00:d"))
+def _(spark, sf_dir):
+    return reshape.drop_targets(fixtures.wide(spark, sf_dir).select("sample", "time", "`U_10.00`", "M", "Dir"))
+
+
+@query("reindex_bins", shown(f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP.split(', pop AS')[0]} SELECT f.source, f.speed, f.direction, n FROM f LEFT JOIN d ON f.source = d.source AND f.speed = d.speed AND f.direction = d.direction", "source:s speed:d direction:d n:d"))
+def _(spark, sf_dir):
+    return histogram.reindex_bins(histogram.distribution(fixtures.wind(spark))).withColumn("n", F.col("n").cast("double"))
+
+
+@query("missing_rules", shown(f"{_deduced_sql(_ST)}, rl(var, metric, perfect, good, weight) AS (VALUES {_RULES}) SELECT var, metric FROM rl ANTI JOIN dd USING (var, metric)", "var:s metric:s"))
+def _(spark, sf_dir):
+    found = score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark), "ref")))
+    return score.rules(spark).join(found, ["var", "metric"], "left_anti").select("var", "metric")
+
+
+_TAB = f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP}, p0 AS (SELECT b.source, a.population AS ref, b.population AS new FROM pop a JOIN pop b ON a.speed = b.speed AND a.direction = b.direction WHERE a.source = 'ref' AND b.source <> 'ref')"
+
+
+@query("compare_tabfiles_relative", shown(f"{_TAB}, x AS (SELECT source, 100*new/ref AS v FROM p0 WHERE ref > 1) SELECT source, 'TAB_relpop' AS var, unnest(['length', 'mean', 'bias', 'rmse', 'MAE', 'std', 'max', 'q0.5']) AS metric, unnest([count(*), avg(v), avg(v) - 100, sqrt(avg((v - 100)*(v - 100))), avg(abs(v - 100)), stddev_pop(v), max(v), median(v)]) AS value FROM x GROUP BY source", LONG))
+def _(spark, sf_dir):
+    out = histogram.compare_tabfiles(fixtures.wind(spark), "ref", relative=True)
+    return out.where("var = 'TAB_relpop' and metric in ('length', 'mean', 'bias', 'rmse', 'MAE', 'std', 'max', 'q0.5')")
+
+
+_SECTORS = "f AS (SELECT source, CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16 AS k16, avg(M) AS mean, pow(stddev_pop(M)/avg(M), -1.086) AS k, count(M) AS count FROM s GROUP BY 1, 2), fit AS (SELECT source, k16, mean/gamma(1 + 1/k) AS A, k, count FROM f WHERE count >= 10)"
+
+
+@query("compare_weibulls_sectors", shown(f"""WITH s AS ({SQL['wind']}), {_SECTORS}, p AS (SELECT n.source, unnest(['A_sector', 'k_sector']) AS var, unnest([r.A, r.k]) AS ref, unnest([n.A, n.k]) AS new, n.count AS w FROM fit n JOIN fit r ON n.k16 = r.k16 WHERE r.source = 'ref' AND n.source <> 'ref')
+  SELECT source, var, unnest(['rmse', 'r2', 'weighted_rmse', 'weighted_MAE']) AS metric, unnest([sqrt(avg((new - ref)*(new - ref))), pow(corr(new, ref), 2), sqrt(sum(w*(new - ref)*(new - ref))/sum(w)), sqrt(sum(w*abs(new - ref))/sum(w))]) AS value FROM p GROUP BY source, var""", LONG))
+def _(spark, sf_dir):
+    out = weibull.compare_weibulls(fixtures.wind(spark), "ref", sectors=16, method="params")
+    return out.where("var like '%sector' and metric in ('rmse', 'r2', 'weighted_rmse', 'weighted_MAE')")
+
+
+@query("fold_averages", shown(f"WITH p AS ({_PRED}), f AS (SELECT l_orderkey % 5 AS fold, sqrt(avg((a - y)*(a - y))) AS rmse FROM p GROUP BY 1) SELECT avg(rmse) AS rmse FROM f", "rmse:d"))
+def _(spark, sf_dir):
+    e = F.col("a") - F.col("y")
+    folds = _predictions(spark, sf_dir).groupBy((F.col("l_orderkey") % 5).alias("fold")).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return folds.agg(F.avg("rmse").alias("rmse"))
+
+
+@query("circular_statistics", shown(f"SELECT source, (degrees(atan2(avg(sin(radians(Dir))), avg(cos(radians(Dir))))) + 360) % 360 AS mean, degrees(sqrt(-ln(pow(avg(sin(radians(Dir))), 2) + pow(avg(cos(radians(Dir))), 2)))) AS std FROM ({SQL['wind']}) GROUP BY source", "source:s mean:d std:d"))
+def _(spark, sf_dir):
+    return fixtures.wind(spark).groupBy("source").agg(wind.circular_mean(F.col("Dir")).alias("mean"), wind.circular_std(F.col("Dir")).alias("std"))
