@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets; n_chars follows."""
     rows = docs.select(*COLUMNS)
-    found = pii.find(spark, rows, pii.train(rows), keep=[F.col(c) for c in COLUMNS])
+    found = pii.find(spark, rows, pii.train(rows), keep=list(COLUMNS))
     return found.withColumn("text", pii.redact(F.col("text"), F.col("spans"))).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -110,7 +110,7 @@ def test_pii_learns_more_than_the_patterns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = pii.train(df)
     ask = [(0, "ring (415) 555-2671 soon"), (1, None), (2, ""), (3, "write mail.7@ex.com, or 10.0.0.1."), (4, "nothing here 12345 to see"), (5, "é " * 3000 + "+1 (415) 555-2671")]
-    got = {x.doc_id: x for x in pii.find(spark, spark.createDataFrame(ask, "doc_id long, text string").withColumn("spans", F.lit(1)), model, keep=[F.col("doc_id"), F.col("text")]).withColumn("red", pii.redact(F.col("text"), F.col("spans"))).collect()}
+    got = {x.doc_id: x for x in pii.find(spark, spark.createDataFrame(ask, "doc_id long, text string").withColumn("spans", F.lit(1)), model, keep=["doc_id", "text"]).withColumn("red", pii.redact(F.col("text"), F.col("spans"))).collect()}
     assert [(s.kind, s.start, s.end) for s in got[0].spans] == [("phone", 5, 19)] and not got[0].base
     assert not got[1].spans and got[1].red is None and got[2].red == "" and not got[4].spans
     assert got[3].red == "write [EMAIL], or [IP]." and got[5].red == "é " * 3000 + "[PHONE]"

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import threading
 from array import array
 
 import numpy as np
@@ -14,19 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import as_bytes
+from .words import as_bytes, worker_cache
 
 #: Most words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Ids that one outgoing batch holds at most, but for a single document.
 BATCH_IDS = 2_000_000
 
 #: Words that the tokenizer leaves as one piece, and marks that are a piece each.
 _PLAIN, _MARKS = re.compile("[a-zß-öø-ÿ]+"), ".,;:!?"
 
-_lock = threading.Lock()
-_tokenizers: dict[str, "_Words"] = {}
-
 
 class _Words(dict):
     """Words to numbers of pieces, which are ids as little-endian unsigned 32-bit integers. The tokenizer never joins across white space, so a text's ids are those of its words."""
@@ -78,13 +74,6 @@ class _Words(dict):
         return [b"".join(map(self.pieces.__getitem__, x)) for x in numbers]
 
 
-def words_of(path: str) -> _Words:
-    with _lock:
-        if path not in _tokenizers:
-            _tokenizers[path] = _Words(path)
-        return _tokenizers[path]
-
-
 def lengths_of(total: int, longest: int) -> list[int]:
     """Full pieces first, then the binary digits of the rest from the highest: 11 at 8 is 8, 2, 1."""
     rest = total % longest
@@ -104,7 +93,7 @@ def decompose(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_c
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
-        words, sequence = words_of(tokenizer), TaskContext.get().partitionId() << 36
+        words, sequence = worker_cache(("packing", tokenizer), lambda: _Words(tokenizer)), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             rows, held = [], 0

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import carried, kept_part, kept_schema
+
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -292,26 +294,27 @@ def _parts(region: Region, longest: int = 200):
         yield Region(region.spans[at : at + longest + LONGEST], region.words[at : at + longest + LONGEST])
 
 
-def find(spark: SparkSession, docs: DataFrame, model: SemiCrf, *, keep: list[Column], text_col: str = "text") -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, model: SemiCrf, *, keep: list[Column | str], text_col: str = "text") -> DataFrame:
     """The columns of keep, and base and spans: arrays of (kind, start, end) in code points, end exclusive, by start, then kind.
 
     Null texts are empty and have none. Texts are read whole; regions are bounded, so a long text costs in proportion.
     """
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kept, place = carried(docs, keep, text_col)
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    schema = kept.drop("__text").schema.simpleString()[7:-1] + f",base:{span},spans:{span}"
+    schema = kept_schema(kept) + f",base:{span},spans:{span}"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     named = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def search(batches):
         for batch in batches:
             base, every = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(place).to_pylist():
                 b, e = all_spans(text or "", shared.value)
                 base.append(named(b))
                 every.append(named(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, kind), pa.array(every, kind)], [*batch.schema.names[:-1], "base", "spans"])
+            columns, names = kept_part(batch)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(base, kind), pa.array(every, kind)], [*names, "base", "spans"])
 
     return kept.mapInArrow(search, schema)
 

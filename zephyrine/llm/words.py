@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are cut into words at once, but for a single text; and the longest word whose id comes from the table.
 CHUNK, SHORT = 2 << 20, 256
@@ -13,6 +18,40 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_cache: dict = {}
+
+
+def worker_cache(key, build):
+    """What a worker remembers between tasks under key. Only one cache is kept: another operator's takes its place, so that the operators of a pipeline don't add up in a worker's memory."""
+    if key not in _cache:
+        if _cache:
+            _cache.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give the freed pages back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _cache[key] = build()
+    return _cache[key]
+
+
+def carried(docs: DataFrame, keep: list, text_col: str) -> tuple[DataFrame, int]:
+    """(the columns of keep and the text, where the text is): a text that is kept anyway goes to Python once."""
+    if text_col in [k for k in keep if isinstance(k, str)]:
+        frame = docs.select(*keep)
+        return frame.withColumn(text_col, frame[text_col].cast("string")), frame.columns.index(text_col)
+    frame = docs.select(*keep, docs[text_col].cast("string").alias("__text"))
+    return frame, len(frame.columns) - 1
+
+
+def kept_schema(frame: DataFrame) -> str:
+    return frame.drop("__text").schema.simpleString()[7:-1]
+
+
+def kept_part(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
+    """Columns and names of a batch without a text that only came to be read."""
+    at = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
+    return [batch.column(i) for i in at], [batch.schema.names[i] for i in at]
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; nulls are empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
