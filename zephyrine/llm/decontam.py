@@ -27,7 +27,7 @@ EMBEDDED, SEARCHED = 256, 4000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, n_words bigint, distance bigint"
 
 #: ASCII letters and digits in lower case, other ASCII as space, all else as it is.
-_PLAIN = bytes(ord(chr(c).lower()) if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 _END = np.uint64(0xE4D)
 
 

@@ -135,8 +135,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, *, keep: list[Co
     """
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    fields = kept.drop("__text").schema
-    schema = fields.simpleString()[7:-1] + ",lang_pred:string,score:double"
+    schema = kept.drop("__text").schema.simpleString()[7:-1] + ",lang_pred:string,score:double"
 
     def score(batches):
         for batch in batches:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +45,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
+    """Where the vocabulary file is, on the driver and on executors alike."""
     import public_tokenizers
 
-    return os.path.join(os.path.realpath(os.path.dirname(public_tokenizers.__file__)), os.path.basename(public_tokenizers.path("word_bpe_49k.json")))
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
