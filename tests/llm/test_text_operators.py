@@ -208,6 +208,16 @@ def test_packing_is_a_round_trip(docs, tmp_path):
     assert packing.lengths_of(5 + 2 * 8, 8) == [8, 8, 4, 1]
 
 
+def test_packing_forgets_words_without_harm(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    kept, plain = packing._Words(tokenizer_path()), packing._Words(tokenizer_path())
+    r = random.Random(7)
+    for _ in range(60):
+        text = " ".join(r.choice("abcdef") * r.randrange(1, 9) + r.choice(["", ".", "'s", "Ü"]) for _ in range(20)).encode()
+        assert kept.encode([text]) == [np.array(plain.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(kept.pieces) < 200
+
+
 def test_media_round_trip_and_damage(docs, spark, tmp_path):
     out = media.media_columns(docs)
     want = collections.Counter((d, media.padded((t or "").encode()), len((t or "").encode())) for d, t, *_ in corpus())

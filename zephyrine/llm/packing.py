@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .words import as_bytes, worker_cache
 
 #: Most words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
+#: Plain words that are encoded as one text.
+JOINED = 512
 #: Ids that one outgoing batch holds at most, but for a single document.
 BATCH_IDS = 2_000_000
 
@@ -34,40 +36,62 @@ class _Words(dict):
         with open(path, "rb") as file:
             text = file.read().decode()
         self.whole = Tokenizer.from_str(text)
-        # for words of small Latin letters alone nothing is to normalise or to split
-        plain = json.loads(text) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.plain = Tokenizer.from_str(json.dumps(plain))
+        # for words of small Latin letters alone nothing is to normalise; many are encoded as one text and told apart by their last tokens
+        known = json.loads(text)
+        suffix = known["model"].get("end_of_word_suffix")
+        pieces = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(known | {"normalizer": None, "added_tokens": [], "pre_tokenizer": pieces})) if suffix else None
+        self.last = np.zeros(max(known["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for t, i in known["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        if self.plain and hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # each word comes once
         self.pieces: list[bytes] = []
         self.new: list[bytes] = []
+        self.old: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
+        if word in self.old:
+            number = self[word] = self.old[word]
+            return number
         self.new.append(word)
         number = self[word] = len(self.pieces)
         self.pieces.append(b"")
         return number
 
+    def age(self) -> None:
+        """Forget the words that were not met since this was last done; the others are old now, and stay if they are met again."""
+        words = list(self)
+        self.pieces = [self.pieces[self[w]] for w in words]
+        self.old = dict(zip(words, range(len(words)), strict=True))
+        self.clear()
+
     def learn(self) -> None:
         """Encode the new words; a plain word with one mark after it is the word and the mark."""
         plain, other, marked = [], [], []
         for word in self.new:  # grows meanwhile
             text = word.decode()
-            if _PLAIN.fullmatch(text):
+            if self.plain and _PLAIN.fullmatch(text):
                 plain.append(text)
             elif text[-1] in _MARKS and _PLAIN.fullmatch(text[:-1]):
                 marked.append((word, self[word[:-1]], self[word[-1:]]))
             else:
                 other.append(text)
-        for tokenizer, texts in ((self.plain, plain), (self.whole, other)):
-            for text, found in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.pieces[self[text.encode()]] = array("I", found.ids).tobytes()
+        if plain:
+            found = self.plain.encode_batch_fast([" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)], add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1]))
+            for text, a, b in zip(plain, starts.tolist(), ends.tolist(), strict=True):
+                self.pieces[self[text.encode()]] = raw[a:b]
+        for text, found in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.pieces[self[text.encode()]] = array("I", found.ids).tobytes()
         for word, a, b in marked:
             self.pieces[self[word]] = self.pieces[a] + self.pieces[b]
         self.new = []
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.pieces) > REMEMBERED:
-            self.clear()
-            self.pieces = []
+        if len(self) > REMEMBERED // 2:
+            self.age()
         # lower case first shares more words; a text with an opening that could become a control token is left as it is
         numbers = [list(map(self.__getitem__, (x if b"<|" in x else x.lower()).split())) for x in texts]
         self.learn()
