@@ -43,10 +43,14 @@ def resampled_pairs(pairs: DataFrame, period: str, per_hour: int | None, group=G
     return by.agg(*sides)
 
 
-def stats_in_resamplings(pairs: DataFrame, periods: list[str], per_hour: int | None, group=GROUP) -> DataFrame:
+def resampled_rows(pairs: DataFrame, periods: list[str], per_hour: int | None, group=GROUP) -> DataFrame:
+    """(group, period, ref, new): the pairs of several resamplings."""
+    return reduce(DataFrame.unionByName, (resampled_pairs(pairs, p, per_hour, group).select(*group, F.lit(p).alias("period"), "ref", "new") for p in periods))
+
+
+def stats_of_resampled(rows: DataFrame, group=GROUP) -> DataFrame:
     """length, r2 (over 2 periods), rmse, MAE, SAE (summed variables) and EMD (over 5), with the period's name behind an underscore. All periods go through one aggregate."""
     group = list(group)
-    rows = reduce(DataFrame.unionByName, (resampled_pairs(pairs, p, per_hour, group).select(*group, F.lit(p).alias("period"), "ref", "new") for p in periods))
     keys = [*group, "period"]
     e = F.col("new") - F.col("ref")
     one = rows.groupBy(*keys).agg(F.count("new").alias("n"), F.count("ref").alias("m"), pearson(F.col("new"), F.col("ref")).alias("corr"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.abs(e)).alias("sae"))
@@ -63,7 +67,7 @@ def stats_in_resamplings(pairs: DataFrame, periods: list[str], per_hour: int | N
 
 
 def stats_in_resampling(pairs: DataFrame, period: str, per_hour: int | None, group=GROUP) -> DataFrame:
-    return stats_in_resamplings(pairs, [period], per_hour, group)
+    return stats_of_resampled(resampled_rows(pairs, [period], per_hour, group), group)
 
 
 def per_hour(series: DataFrame, source: str) -> int:

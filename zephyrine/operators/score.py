@@ -12,7 +12,7 @@ from .align import KEYS, pairs, time_match_sources, variables
 from .cycles import cycle_pairs
 from .histogram import least_cells, tabfile_pairs
 from .ramps import change_pairs, least_steps, noise, ramps
-from .resample import UNITS, per_hour, stats_in_resamplings
+from .resample import UNITS, per_hour, resampled_rows, stats_of_resampled
 from .stats import as_pairs, compare_stats
 from .weibull import weibull_rows
 
@@ -171,8 +171,8 @@ EXTRAS = {
     "tabfile": lambda series, ref, **k: (None, tabfile_pairs(series, ref, **k)),
     "weibull": lambda series, ref, **k: weibull_rows(series, ref, **k),
     "season_day": lambda series, ref, **k: (None, cycle_pairs(series, ref, ["M"], **k)),
-    "ramps": lambda series, ref, **k: (None, change_pairs(ramps(series, ["M"], **k), ref)),
-    "noise": lambda series, ref, **k: (None, change_pairs(noise(series, ["M"], **k), ref)),
+    "ramps": lambda series, ref, **k: (None, change_pairs(cut(ramps(series, ["M"], **k), "ramps"), ref)),
+    "noise": lambda series, ref, **k: (None, change_pairs(cut(noise(series, ["M"], **k), "noise"), ref)),
 }
 
 
@@ -197,7 +197,7 @@ def all_sources_stats(series: DataFrame, ref: str, names=None, *, extras: dict[s
         same = out.where(F.col("metric").isin("length", "r2", "rmse", "MAE", "SAE", "EMD")).join(F.broadcast(rows.select("var").distinct()), "var", "left_semi")
         out = out.unionByName(same.withColumn("metric", F.concat("metric", F.lit("_hourly"))))
     if resampled:
-        out = out.unionByName(stats_in_resamplings(rows, resampled, rate))
+        out = out.unionByName(stats_of_resampled(cut(resampled_rows(rows, resampled, rate), "resampled")))
     for k, v in (info or {}).items():
         out = out.withColumn(k, F.lit(v))
     return out
