@@ -179,6 +179,32 @@ def test_classifier_keeps_prose_and_drops_noise(spark):
     assert all(x.keep for x in kneser_ney.classify(df, labels.limit(0)).collect())
 
 
+def test_classifier_drops_repetition_of_ordinary_words(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices(["the", "and", "ing", "er", "on"], k=r.randrange(1, 4))) for _ in range(150)]
+    prose = lambda: [r.choice(words) for _ in range(r.randrange(20, 80))]
+    rows = [(i, " ".join(prose()), "en") for i in range(300)]
+    rows += [(i, " ".join([r.choice(words)] * 60 if i % 2 else prose()[:4] * 30), "en") for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 330, 3)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.keep for x in kneser_ney.classify(df, labels, train_docs=40).collect()}
+    assert sum(got[i] for i in range(300)) >= 297 and not any(got[i] for i in range(300, 330))
+
+
+def test_adapted_scores_by_definition():
+    r = random.Random(6)
+    docs = [[r.randrange(4) for _ in range(r.randrange(30))] for _ in range(20)]
+    doc = np.repeat(np.arange(20), [len(d) for d in docs])
+    word = np.array([w for d in docs for w in d], np.int64)
+    value = np.log(np.random.default_rng(1).uniform(0.01, 1, len(word)))
+    want = []
+    for d in docs:
+        for i, w in enumerate(d):
+            after = [b for a, b in zip(d[: i - 1], d[1:i], strict=True) if a == d[i - 1]] if i else []
+            want.append(0.5 * math.exp(value[len(want)]) + (0.5 * after.count(w) / len(after) if after else 0))
+    assert np.allclose(np.exp(kneser_ney.adapted(doc, word, value)), want)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]

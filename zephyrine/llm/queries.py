@@ -29,7 +29,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
+    judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return judged.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
