@@ -205,6 +205,27 @@ def test_adapted_scores_by_definition():
     assert np.allclose(np.exp(kneser_ney.adapted(doc, word, value)), want)
 
 
+def test_thresholds_are_of_all_trusted_documents(spark):
+    g = np.random.default_rng(2)
+    part = lambda of, n, x: [(of, "held", float(a), float(b)) for a, b in zip(g.lognormal(x, 0.3, n).round(2), g.lognormal(x, 0.3, n).round(2), strict=True)]
+    rows = [*part("en", 9000, 1.5), *part("de", 301, 2), ("fr", "held", 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "of string, part string, perplexity double, adapted double").repartition(5)
+    got = kneser_ney.bounds(df, quantiles=(0.999,), slack=1.0)
+    for of in ("en", "de", "fr"):
+        high, low = (np.log([r[i] for r in rows if r[0] == of]) for i in (2, 3))
+        assert np.allclose(got[of], (math.exp(np.quantile(high, 0.999)), math.exp(-np.quantile(-low, 0.999))))
+    # one odd trusted text of a small language does not shelter rejects
+    more = spark.createDataFrame([("de", "held", 60.0, 60.0), *(("de", "reject", 40.0, 40.0) for _ in range(20))], df.schema)
+    assert kneser_ney.bounds(df.unionByName(more))["de"][0] < 40
+
+
+def test_all_trusted_documents_but_the_training_sample_set_thresholds(spark):
+    df = spark.range(5000).selectExpr("id doc_id", "'a b' text", "'en' lang")
+    labels = spark.range(5000).selectExpr("id doc_id", "if(id < 4900, 1, 0) quality", "0 toxic")
+    count = {r[0]: r[1] for r in kneser_ney.sampled(df, labels).groupBy("part").count().collect()}
+    assert 500 < count["train"] < 700 and count["train"] + count["held"] == 4900 and count["reject"] == 100
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]
