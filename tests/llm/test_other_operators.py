@@ -116,6 +116,21 @@ def test_pii_learns_more_than_the_patterns(spark):
     assert got[3].red == "write [EMAIL], or [IP]." and got[5].red == "é " * 3000 + "[PHONE]"
 
 
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    r = random.Random(9)
+    rows = [(i, f"the of {r.choice(['call', 'at', 'and'])} +1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)} then {r.randrange(10**6)} on mail.{r.choice('abcde')}@ex{r.choice('klmn')}.com or {r.randrange(256)}.{r.randrange(256)}.1.{r.randrange(256)} and {r.randrange(10**11)}") for i in range(300)]
+    return pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_pii_finds_spelt_addresses_without_digits(pii_model):
+    for address in ("jane.doe(at)example.com", "jane.doe[at]example.com", "jane.doe at example dot com"):
+        assert pii.all_spans(f"write {address} today", pii_model)[1] == [("email", 6, 6 + len(address))], address
+    for text in ("nothing is here", "we met at noon, see example.com for more", ""):
+        assert not pii.all_spans(text, pii_model)[1], text
+    assert len(pii.regions("a.a" * 100_000)) == 1 and not pii.regions("at " * 50_000)
+
+
 def reference_model(counts, order):
     """Interpolated modified Kneser-Ney by its definition."""
     seq = {f"\x02{w}\x03": c for w, c in counts.items()}

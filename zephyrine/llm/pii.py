@@ -72,21 +72,50 @@ LABELS = ("none", *KINDS)
 #: Most tokens of an entity, of context at each side of a region, and buckets of features.
 LONGEST, AROUND, BUCKETS = 6, 2, 1 << 12
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_TRIGGER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TRIGGER = re.compile(r"[0-9@][^\x20\x09-\x0D]*+")
+#: Forms of addresses without @: (at) and [at], names with dots, and `x at y dot z`.
+_SPELT = re.compile(r"[(\[]\x20?(?i:at)\x20?[)\]]|\.(?<=[A-Za-z]\.)(?=[A-Za-z])|[\x20\x09-\x0D](?i:at)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++(?i:dot)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)+")
+_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _EDGES = ".,;:!?\"'<>[]{}|"
 
 
 @dataclass
 class Region:
-    """Neighbouring tokens of which some hold a digit or @."""
+    """Neighbouring tokens of which some hold a digit or @, or spell an address."""
 
     spans: list[tuple[int, int]]
     words: list[str]
 
 
+def _marks(text: str) -> list[tuple[int, int]]:
+    """Where tokens hold a digit or @ or spell an address, by start; none overlap."""
+    found = []
+    for form in (_TRIGGER, _SPELT):
+        last = 0
+        for m in form.finditer(text):
+            a, b = m.span()
+            if b <= last:
+                continue
+            while text[a] in _SPACES:
+                a += 1
+            while a > last and text[a - 1] not in _SPACES:
+                a -= 1
+            while b < len(text) and text[b] not in _SPACES:
+                b += 1
+            found.append((a, b))
+            last = b
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def regions(text: str) -> list[Region]:
-    """Runs of tokens with a digit or @, at most LONGEST - 1 other tokens apart, with AROUND tokens at each side. Together they hold every token from which an entity could begin."""
-    marks = [m.span() for m in _TRIGGER.finditer(text)]
+    """Runs of tokens with a digit or @ or a spelt address, at most LONGEST - 1 other tokens apart, with AROUND tokens at each side. Together they hold every token from which an entity could begin."""
+    marks = _marks(text)
     if not marks:
         return []
     out, i = [], 0
@@ -230,7 +259,7 @@ def silver(region: Region, spans: list[tuple[str, int, int]]) -> list[tuple[int,
 
 
 def varied(region: Region, gold: list[tuple[int, int, int]]) -> list[tuple[Region, list[tuple[int, int, int]]]]:
-    """Forms that the patterns miss and the model is to learn: phone numbers without their prefix, e-mail addresses spelt with (at)."""
+    """Forms that the patterns miss and the model is to learn: phone numbers without their prefix, e-mail addresses spelt with (at), [at], or at and dot; and what is left of an address without its name, which is none."""
     out = []
     for x, (i, n, y) in enumerate(gold):
         words = list(region.words)
@@ -238,8 +267,13 @@ def varied(region: Region, gold: list[tuple[int, int, int]]) -> list[tuple[Regio
             cut = Region(region.spans[:i] + region.spans[i + 1 :], words[:i] + words[i + 1 :])
             out.append((cut, [*gold[:x], (i, n - 1, y), *((a - 1, b, c) for a, b, c in gold[x + 1 :])]))
         if LABELS[y] == "email" and n == 1:
-            words[i] = words[i].replace("@", "(at)")
-            out.append((Region(region.spans, words), gold))
+            name, _, domain = words[i].partition("@")
+            forms = ([f"{name}(at){domain}"], [f"{name}[at]{domain}"], [name, "at", *domain.rstrip(_EDGES).replace(".", " dot ").split()], [domain])
+            form = zlib.crc32(words[i].encode()) % 4  # one of each, so that addresses don't crowd out the rest
+            new = forms[form] if len(forms[form]) <= LONGEST else forms[0]
+            more = len(new) - 1
+            spelt = Region(region.spans[:i] + [region.spans[i]] * (more + 1) + region.spans[i + 1 :], words[:i] + new + words[i + 1 :])
+            out.append((spelt, [*gold[:x], (i, more + 1, y if form < 3 else 0), *((a + more, b, c) for a, b, c in gold[x + 1 :])]))
     return out
 
 
