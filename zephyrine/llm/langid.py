@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import carried, kept_part, kept_schema
+
 #: Lengths of n-grams.
 ORDERS = (1, 2, 3)
 #: Buckets that n-grams are hashed to: with the number of languages this bounds the matrix, at any size of the corpus.
@@ -131,16 +133,15 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", b
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, keep: list[Column], text_col: str = "text") -> DataFrame:
     """The columns of keep, lang_pred and score, the probability of lang_pred. Only the text decides.
 
-    Null texts and texts without a letter are `und` with score 0, and so are all texts if nothing was learned. Equal probabilities go to the first language of the alphabet. Long texts are scored whole.
+    Null texts and texts without a letter are `und` with score 0, and so are all texts if nothing was learned. Equal probabilities go to the first language of the alphabet. Long texts are scored whole. Columns of keep named lang_pred or score are replaced; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.simpleString()[7:-1] + ",lang_pred:string,score:double"
+    kept, place, extra = carried(docs, keep, text_col, ("lang_pred", "score"))
 
     def score(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            said, scores = shared.value.score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            said, scores = shared.value.score([x or "" for x in batch.column(place).to_pylist()])
+            columns, names = kept_part(batch, extra)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(score, kept_schema(kept, extra, "lang_pred:string,score:double"))

@@ -33,22 +33,34 @@ def worker_cache(key, build):
     return _cache[key]
 
 
-def carried(docs: DataFrame, keep: list, text_col: str) -> tuple[DataFrame, int]:
-    """(the columns of keep and the text, where the text is): a text that is kept anyway goes to Python once."""
-    if text_col in [k for k in keep if isinstance(k, str)]:
-        frame = docs.select(*keep)
-        return frame.withColumn(text_col, frame[text_col].cast("string")), frame.columns.index(text_col)
-    frame = docs.select(*keep, docs[text_col].cast("string").alias("__text"))
-    return frame, len(frame.columns) - 1
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with underscores, that is none of taken (in any case)."""
+    have = {x.lower() for x in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
-def kept_schema(frame: DataFrame) -> str:
-    return frame.drop("__text").schema.simpleString()[7:-1]
+def carried(docs: DataFrame, keep: list, text_col: str, new: tuple[str, ...]) -> tuple[DataFrame, int, int | None]:
+    """(the columns of keep, but for those named like a new one, and the text; where the text is; the same if it only comes to be read, or None): a text that is kept anyway goes to Python once."""
+    kept = docs.select(*keep)
+    old = [n for n in kept.columns if n.lower() in new]
+    if text_col in [k for k in keep if isinstance(k, str)] and text_col.lower() not in new:
+        frame = kept.withColumn(text_col, kept[text_col].cast("string")).drop(*old)
+        return frame, frame.columns.index(text_col), None
+    frame = docs.select(*keep, docs[text_col].cast("string").alias(fresh("text", [*kept.columns, *new]))).drop(*old)
+    return frame, len(frame.columns) - 1, len(frame.columns) - 1
 
 
-def kept_part(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
+def kept_schema(frame: DataFrame, extra: int | None, new: str) -> str:
+    """The columns that stay, and the new ones."""
+    own = (frame if extra is None else frame.drop(frame.columns[extra])).schema.simpleString()[7:-1]
+    return ",".join(filter(None, (own, new)))
+
+
+def kept_part(batch: pa.RecordBatch, extra: int | None) -> tuple[list[pa.Array], list[str]]:
     """Columns and names of a batch without a text that only came to be read."""
-    at = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
+    at = [i for i in range(batch.num_columns) if i != extra]
     return [batch.column(i) for i in at], [batch.schema.names[i] for i in at]
 
 
