@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zephyrine.llm import blocks, components, decontam, jaccard, langid, media, packing, stupid_backoff, substring, words
+from zephyrine.llm import blocks, components, decontam, jaccard, langid, media, packing, pii, stupid_backoff, substring, words
 from zephyrine.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, shard int, lang string, part string, key string"
@@ -289,7 +289,7 @@ def test_decontamination(spark):
         tokens = decontam.plain((t or "").encode()).split()
         for i, text in items:
             item = decontam.plain((text or "").encode()).split()
-            if len(item) >= 5 and plain_distance(item, tokens) <= int(0.2 * len(item) + 1e-9):
+            if item and plain_distance(item, tokens) <= int(0.2 * len(item) + 1e-9):
                 want.add((d, i))
     df, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     out = decontam.contaminated(df, wanted).collect()
@@ -300,7 +300,62 @@ def test_decontamination(spark):
         part = decontam.plain(dict(rows)[x.doc_id].encode()).split()[x.start : x.start + x.n_words]
         assert plain_distance(part, decontam.plain(dict(items)[x.item_id].encode()).split()) <= x.distance + abs(len(part))
     assert {x.doc_id for x in decontam.clean(df.withColumn("item_id", F.lit("clash")), wanted).collect()} == {d for d, _ in rows} - {d for d, _ in got}
-    assert decontam.contaminated(df, wanted.limit(0)).count() == 0
+    assert decontam.contaminated(df, wanted.limit(0)).count() == decontam.contaminated(df.limit(0), wanted).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Alpha"), (2, "beta, gamma"), (3, "one two three four"), (4, "\u6211\u4eec\u5728\u5b66\u4e60\u65b0\u7684\u8bed\u8a00"), (5, "\u3042")]
+    texts = [(1, "x alpha y ALPHA"), (2, "beta gamma"), (3, "beta\ngamma! delta one two three four"), (4, "one two three fou"), (5, "abc\u4ed6\u8bf4\u6211\u4eec\u5728\u5b66\u4e60\u65b0\u7684\u8a9e\u8a00def"), (6, "alphabet"), (7, "\u3042\u3042"), (8, None)]
+    out = decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 1, 1, 1, 0), (2, 2, 0, 2, 0), (3, 2, 0, 2, 0), (3, 3, 3, 4, 0), (5, 4, 3, 9, 1), (7, 5, 0, 1, 0)]
+
+
+@pytest.mark.parametrize("kinds", [(0, 1, 2), (2,), (1,)], ids=["mixed", "deletions", "insertions"])
+def test_recall_on_edited_long_items(kinds):
+    r = random.Random(len(kinds) + kinds[0])
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=size))) for i, size in enumerate([10, 50, 200, 400] * 5)]
+    texts = []
+    for i, text in items:
+        part = text.split()
+        for at in sorted(r.sample(range(len(part)), int(0.19 * len(part))), reverse=True):
+            kind = r.choice(kinds)
+            part[at : at + (kind != 1)] = [] if kind == 2 else [r.choice(vocabulary)]
+        texts.append(" ".join([*r.choices(vocabulary, k=300), *part, *r.choices(vocabulary, k=300)]).encode())
+    found = {(d, i) for d, i, *_ in decontam.Items(items).search(texts)}
+    assert len(found & {(i, i) for i, _ in items}) >= 0.95 * len(items)
+
+
+def test_one_very_long_item_and_text(spark):
+    r = random.Random(1)
+    long = [f"u{r.randrange(10**6)}" for _ in range(20_000)]
+    items = decontam.Items([(1, " ".join(long)), *((i, f"short item number {i} of these five") for i in range(2, 400))])
+    assert items.keys.nbytes < 1 << 20
+    copy = list(long)
+    for at in r.sample(range(20_000), 800):
+        copy[at] = "edit"
+    found = items.search([" ".join(["x"] * 50 + copy).encode(), b"short item number 7 of those five"])
+    assert [(d, i) for d, i, *_ in found if i in (1, 7)] == [(0, 1), (1, 7)] and found[0][4] <= 800
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "a", 2, 3.0), (2, None, "b", 2, None)], "doc_id long, text string, lang_pred string, base int, score double").withColumn("spans", F.lit(1)).withColumn("__text", F.lit("x")).withColumn("key", F.lit(1)).withColumn("KEY_", F.lit(1))
+    out = langid.predict(spark, df, langid.train(df.withColumn("lang", F.lit("en"))), keep=list(df.columns))
+    assert out.columns == ["doc_id", "text", "base", "spans", "__text", "key", "KEY_", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"en", "und"}
+    found = pii.find(spark, df, pii.train(df), keep=list(df.columns))
+    assert found.columns[-2:] == ["base", "spans"] and len({c.lower() for c in found.columns}) == len(found.columns) and found.count() == 2
+    odd = df.withColumnRenamed("text", "score2").withColumnRenamed("__text", "text")
+    assert langid.predict(spark, odd, langid.train(df.limit(0).withColumn("lang", F.lit("x"))), keep=[F.col("doc_id"), F.col("text")], text_col="score2").columns == ["doc_id", "text", "lang_pred", "score"]
+    clean = decontam.clean(df, spark.createDataFrame([(1, "cat")], "item_id long, text string"))
+    assert clean.columns == df.columns and [r.doc_id for r in clean.collect()] == [2]
+
+
+def test_ties(spark):
+    df = spark.createDataFrame([(1, "ab", "x"), (2, "ab", "b"), (3, "ab", "m")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(spark, df, langid.train(df), keep=[F.col("doc_id")]).collect()} == {"b"}
+    # two places equally near: the first
+    out = decontam.Items([(1, "a b c d e f")]).search([b"a b x d e f and a b c d e y"])
+    assert [o[2:] for o in out] == [(0, 6, 1)]
 
 
 def test_empty_tables(spark):
