@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,12 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset on a single machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset; on {master or 'a cluster'} it must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="zephyrine-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -42,6 +46,11 @@ def cut(df, name: str = "cut"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df):
+    """df if it reads the same rows in the same order each time (files and what is computed of each row), else its cut."""
+    return cut(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def reach(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever folder the driver runs in."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
