@@ -80,8 +80,21 @@ def test_blocks_pack_without_loss():
         assert (blocks.unplanes(blocks.planes(values)) == values).all()
 
 
-@pytest.mark.parametrize("window,rounds", [(35, 6), (6, 3), (2, 1)])
-def test_repeated_windows(docs, window, rounds):
+def test_equal_rows_spread_over_all_parts(spark):
+    df = spark.range(200_000).selectExpr("cast(null as long) doc_id", "repeat('equal rows ', 30) text")
+    shared = blocks.Corpus(df)
+    sizes = [r[0] for r in shared.frame.groupBy("part").count().select("count").collect()]
+    assert len(sizes) == shared.parts > 5 and max(sizes) < 1.2 * min(sizes)
+
+
+def test_wide_keys_are_told_apart():
+    keys = np.array([[5, 1], [5, 2], [7, 1], [5, 1]], np.uint64)
+    (high, low), counts = blocks.unique_pairs(keys, None)
+    assert high.tolist() == [5, 5, 7] and low.tolist() == [1, 2, 1] and counts.tolist() == [2, 1, 1]
+
+
+@pytest.mark.parametrize("window,rounds,bits", [(35, 6, None), (35, 6, 12), (6, 3, 12), (2, 1, None)])
+def test_repeated_windows(docs, window, rounds, bits):
     rows = [(d, split(t)) for d, t, *_ in corpus()]
     count = collections.Counter(tuple(w[i : i + window]) for _, w in rows for i in range(len(w) - window + 1))
     want = collections.Counter()
@@ -91,7 +104,7 @@ def test_repeated_windows(docs, window, rounds):
             if count[tuple(w[i : i + window])] > 1:
                 gone.update(range(i, i + window))
         want[d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()] += 1
-    assert as_counter(substring.repeated(docs, window=window, rounds=rounds).collect()) == want
+    assert as_counter(substring.repeated(docs, window=window, rounds=rounds, bits=bits).collect()) == want
 
 
 def test_runs_of_one_word(spark):
@@ -147,7 +160,8 @@ def brute_components(sets, percent=80):
     return [top(i) for i in range(len(sets))]
 
 
-def test_jaccard_join(docs):
+@pytest.mark.parametrize("bits", [None, 12])
+def test_jaccard_join(docs, bits):
     rows = [(d, shingles(t)) for d, t, *_ in corpus()]
     tops = brute_components([s for _, s in rows])
     least = {}
@@ -155,10 +169,11 @@ def test_jaccard_join(docs):
         if d is not None:
             least[t] = min(d, least.get(t, d))
     want = collections.Counter((d, len(s), least.get(t)) for t, (d, s) in zip(tops, rows, strict=True))
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs).collect()) == want
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs, bits=bits).collect()) == want
 
 
-def test_large_family_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [(0, 4), (0, 60)], ids=["alike", "of many sizes"])
+def test_large_family_in_blocks(spark, sizes):
     r = random.Random(2)
     base = [f"t{i}" for i in range(60)]
     rows = []
@@ -166,13 +181,44 @@ def test_large_family_in_blocks(spark, monkeypatch):
         w = list(base)
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        w = w[: 60 - r.randrange(*sizes)] + [f"more{x}" for x in range(r.randrange(*sizes))]
         rows.append((i, " ".join(w)))
     sets = [shingles(t) for _, t in rows]
-    monkeypatch.setattr(jaccard.links, "__defaults__", (80, 16))
-    got = {x.doc_id: x.component_id for x in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), block=16, bits=12).collect()}
     assert got == dict(enumerate(brute_components(sets)))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_links_of_sets_around_pivots(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(60):
+        sets, k = [], r.integers(2, 30)
+        while len(sets) < k:
+            base = sets[r.integers(len(sets))] if sets and r.random() < 0.8 else np.empty(0, np.uint64)
+            base = base[r.random(len(base)) < 1 - r.random() * 0.3]
+            sets.append(np.union1d(base, r.integers(0, 400, r.integers(1, 12)).astype(np.uint64)))
+        side = r.integers(0, 2, k) if r.random() < 0.5 else None
+        root = list(range(k))
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for x in range(k):
+            for y in range(x):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both) and (side is None or side[x] != side[y]):
+                    root[max(top(x), top(y))] = min(top(x), top(y))
+        got = list(range(k))
+        for x, y in jaccard.linked(sets, percent, side):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            assert 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
+            a, b = top(x, got), top(y, got)
+            got[max(a, b)] = min(a, b)
+        assert [top(i) for i in range(k)] == [top(i, got) for i in range(k)]
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (None, 3)]

@@ -12,11 +12,11 @@ ROUNDS = 60
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for each id in links (a, b: long): root is the least id that can be reached. Null ends and links to oneself add nothing.
+    """(id, root) for each id in links (a, b: of one type that has an order): root is the least id that can be reached. Null ends and links to oneself add nothing.
 
-    Large-star and small-star take turns: each id's larger, then smaller, neighbours are tied to its least neighbour. Least neighbours are partial aggregates, so an id with very many links is no hot group, and each round is written to the shared folder, which ends its lineage.
+    Large-star and small-star take turns: each id's larger, then smaller, neighbours are tied to its least neighbour. Least neighbours are partial aggregates, and each round is written to the shared folder, which ends its lineage; Runs an action for each round.
     """
-    pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
+    pairs = links.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(ROUNDS):

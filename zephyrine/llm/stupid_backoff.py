@@ -12,7 +12,6 @@ from .words import Stream, as_bytes, join_keys, mix
 #: Longest n-gram, factor of a step back, and the count from which an n-gram of two words or more is in its table.
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 _ALL = np.array([0], np.uint64)
-SCHEMA = "doc_id bigint, n_words bigint, log_score double"
 
 
 def _grams(stream: Stream, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -41,12 +40,11 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: i
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word's score is f(n-gram) / f(its first n - 1 words) for the longest n-gram that ends at it, lies in the document and has a count of at least `least`; each step back costs the factor alpha, and a single word scores f(word) / number of all words. Counts are over all documents, each row counted. Null and empty texts have no words and log_score 0. Null ids stay null; repeated rows are scored each; other columns are not read.
     """
     corpus = Corpus(docs, id_col, text_col)
-    bits = corpus.bits
 
     def use(table: pa.Table, replies: pa.Table) -> pa.Table:
         stream = Stream(as_bytes(table.column("text")))
         keys, ok = _grams(stream, order)
-        got = totals(np.concatenate([_ALL, *(k[o] for k, o in zip(keys, ok, strict=True))]), replies, bits) if len(table) else np.zeros(1, np.int64)
+        got = totals(np.concatenate([_ALL, *(k[o] for k, o in zip(keys, ok, strict=True))]), replies) if len(table) else np.zeros(1, np.int64)
         every, at, counts = max(int(got[0]), 1), 1, []
         for o in ok:
             c = np.zeros(len(o), np.int64)
@@ -65,4 +63,4 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: i
         sums = np.bincount(stream.doc_of(), value, len(stream.lengths)) if len(value) else np.zeros(len(stream.lengths))
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(stream.lengths, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "log_score"])
 
-    return corpus.read(corpus.ask(lambda t: _keys(t, order)), use, SCHEMA)
+    return corpus.read(corpus.ask(lambda t: _keys(t, order)), use, f"doc_id {corpus.id_type}, n_words bigint, log_score double")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Corpus, totals
-from .words import Stream, as_bytes, join_keys, mix, run_keys
+from .words import Stream, as_bytes, join_keys, mix
 
 #: Words of a window, and rounds of naming.
 WINDOW, ROUNDS = 35, 6
-SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 _RUN = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -78,34 +76,47 @@ def anchors(stream: Stream, window: int = WINDOW, rounds: int = ROUNDS) -> tuple
     return starts, chosen, np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def repeated(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(texts: list[bytes], stream: Stream, starts: np.ndarray, window: int) -> np.ndarray:
+    """128-bit digests (two columns) of the words of the windows at starts, which rise."""
+    out = []
+    bounds = np.searchsorted(starts, stream.starts)
+    for d in np.flatnonzero(np.diff(bounds)):
+        words = texts[d].split()
+        data = memoryview(b" ".join(words))
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        own = starts[bounds[d] : bounds[d + 1]] - stream.starts[d]
+        out += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begin[own].tolist(), (begin[own + window] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+
+
+def repeated(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by a space).
 
-    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of so many consecutive words that covers it also starts anywhere else, same document included; windows are judged on the input. Null, empty and short texts lose nothing. Repeated rows are documents each, so they repeat one another. Null ids stay null; other columns are not read.
+    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of so many consecutive words that covers it also starts anywhere else, same document included; windows are judged on the input. Null, empty and short texts lose nothing. Repeated rows are documents each, so they repeat one another. Null ids stay null, and ids keep their type; other columns are not read; an empty table gives no rows. bits: of the names that choose windows to compare; the result doesn't depend on it.
     """
     corpus = Corpus(docs, id_col, text_col)
-    bits = corpus.bits
+    bits = bits or corpus.upper_bits()
 
     def of_anchors(table: pa.Table):
         return anchors(Stream(as_bytes(table.column("text"))), window, rounds)[2], None
 
-    def windows(stream: Stream, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, keys) of the windows whose anchors repeat."""
+    def windows(texts: list[bytes], stream: Stream, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, digests) of the windows whose anchors repeat."""
         starts, chosen, keys = anchors(stream, window, rounds)
-        if not len(starts):
-            return starts, keys
-        starts = starts[(totals(keys, replies, bits) > 1)[chosen]]
-        return starts, run_keys(stream.ids, window)[starts]
+        if len(starts):
+            starts = starts[(totals(keys, replies, bits) > 1)[chosen]]
+        return starts, digests(texts, stream, starts, window)
 
     def of_windows(table: pa.Table, replies: pa.Table):
-        return windows(Stream(as_bytes(table.column("text"))), replies)[1], None
+        texts = as_bytes(table.column("text"))
+        return windows(texts, Stream(texts), replies)[1], None
 
     def use(table: pa.Table, replies: pa.Table) -> pa.Table:
         texts = as_bytes(table.column("text"))
         stream = Stream(texts)
         second = replies.filter(pa.compute.equal(replies.column("asked"), 2))
-        starts, keys = windows(stream, replies.filter(pa.compute.equal(replies.column("asked"), 1)))
-        starts = starts[totals(keys, second, bits) > 1] if len(keys) else starts
+        starts, keys = windows(texts, stream, replies.filter(pa.compute.equal(replies.column("asked"), 1)))
+        starts = starts[totals(keys, second) > 1]
         edge = np.zeros(len(stream.ids) + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + window, -1)
@@ -120,11 +131,8 @@ def repeated(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone[a : a + size])] if n else words))
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(stream.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    first = corpus.ask(of_anchors)
+    first = corpus.ask(of_anchors, bits=bits)
     second = corpus.ask(of_windows, first)
     both = first.withColumn("asked", F.lit(1)).unionByName(second.withColumn("asked", F.lit(2)))
-    return corpus.read(both, use, SCHEMA)
-
+    return corpus.read(both, use, f"doc_id {corpus.id_type}, n_words bigint, n_removed bigint, kept string")
 
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
