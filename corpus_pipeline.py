@@ -20,16 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id; of rows that share it, the first text. Documents without words are no group, and stay."""
+    """Of each group of similar documents the one with the least doc_id (null the last); of rows that share it, the first by a 128-bit digest of the text, and one of equal ones. Documents without words are no group, and stay."""
     rows = docs.select(*COLUMNS)
-    key = F.xxhash64("doc_id", "text")
-    groups = jaccard.similar(rows.withColumn("doc_id", key).select("doc_id", "text")).where("set_id is not null").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
-    ids = rows.select(key.alias("key"), "doc_id").join(groups, "key")
-    first = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    kept = first.select("first.key")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5("text")).alias("digest"))
+    groups = jaccard.similar(rows.select(key.alias("key"), "text"), id_col="key").where("set_id is not null and doc_id = component_id")
+    kept = groups.select(F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.digest").alias("kept_digest")).distinct()
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    chosen = rows.where(some).withColumn("key", key).join(kept, "key", "left_semi").dropDuplicates(["key"]).drop("key")
-    return chosen.unionByName(rows.where(~some)).select(*COLUMNS)
+    words = rows.where(some).withColumn("digest", F.unhex(F.md5("text")))
+    chosen = words.join(kept, words["doc_id"].eqNullSafe(kept["kept_id"]) & (words["digest"] == kept["kept_digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
+    return chosen.select(*COLUMNS).unionByName(rows.where(~some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
