@@ -24,8 +24,10 @@ from .words import as_bytes
 
 #: Samples of a row of an image, and the unit that payloads are padded to.
 WIDTH = 576
-#: Bytes after which an archive is closed, of a read partition, and of an outgoing batch.
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 16 << 20, 4 << 20, 4 << 20
+#: Bytes after which an archive is closed, least bytes of a read partition, and bytes of an outgoing batch.
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 16 << 20, 16 << 20, 4 << 20
+#: Read partitions that a plan has at most: beyond that they grow.
+RANGES = 20_000
 ATTEMPTS = 3
 SCHEMA = "doc_id bigint, archive string, offset bigint, media binary, payload binary, n_bytes bigint, height int, feature string, error string"
 #: Fixed value: how every PNG file begins.
@@ -124,9 +126,9 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
 
 @dataclass
 class ByteRange(InputPartition):
-    path: str
-    start: int
-    end: int
+    """Ranges of bytes of archives: (name, start, end)."""
+
+    pieces: list[tuple[str, int, int]]
 
 
 class ArchiveReader(DataSourceReader):
@@ -136,17 +138,28 @@ class ArchiveReader(DataSourceReader):
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges of bytes by the archives' sizes; the planner reads no archive."""
+        """Ranges of bytes by the archives' sizes, as large as a share of the total; the planner reads no archive, only their list, column by column."""
         import pyarrow.parquet as pq
 
         fs, top = _store(self.folder)
-        names = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{top}/list")) if x.path.endswith(".parquet")]
-        ranges = []
-        for name in sorted(names):
-            with fs.open_input_file(name) as f:
-                for row in pq.read_table(f).to_pylist():
-                    ranges += [ByteRange(row["name"], a, min(a + self.size, row["bytes"])) for a in range(0, row["bytes"], self.size)]
-        return ranges or [ByteRange("", 0, 0)]
+        files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(f"{top}/list")) if x.path.endswith(".parquet"))
+        names, sizes = [], []
+        for file in files:
+            with fs.open_input_file(file) as f:
+                table = pq.read_table(f, columns=["name", "bytes"])
+            names.append(table.column("name").combine_chunks())
+            sizes.append(table.column("bytes").to_numpy())
+        size = max(self.size, sum(int(x.sum()) for x in sizes) // RANGES)
+        ranges, pieces, held = [], [], 0
+        for some, lengths in zip(names, sizes, strict=True):
+            for name, length in zip(some.to_pylist(), lengths.tolist(), strict=True):
+                for a in range(0, length, size):
+                    pieces.append((name, a, min(a + size, length)))
+                    held += pieces[-1][2] - a
+                    if held >= size:
+                        ranges.append(ByteRange(pieces))
+                        pieces, held = [], 0
+        return [*ranges, ByteRange(pieces)]
 
     def member(self, fs: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple[bytes, np.ndarray]:
         """One member by its offset, read anew for each attempt."""
@@ -174,33 +187,32 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, partition: ByteRange):
         """Members whose header begins in the range, in batches of bounded size. The range is read once from end to end; a member that fails is tried again by its offset, and after the last attempt it is a row with error set and no media."""
-        if not partition.path:
-            return
         fs, top = _store(self.folder)
-        path = f"{top}/{partition.path}"
-        with fs.open_input_file(path) as f:
-            infos = [i for i in zipfile.ZipFile(f).infolist() if partition.start <= i.header_offset < partition.end]
-            rows, held = [], 0
-            for info in infos:
-                doc = os.path.splitext(info.filename)[0].partition("_")[2]
-                row = [int(doc) if doc else None, partition.path, info.header_offset]
-                try:
+        rows, held = [], 0
+        for name, start, end in partition.pieces:
+            path = f"{top}/{name}"
+            with fs.open_input_file(path) as f:
+                infos = [i for i in zipfile.ZipFile(f).infolist() if start <= i.header_offset < end]
+                for info in infos:
+                    doc = os.path.splitext(info.filename)[0].partition("_")[2]
+                    row = [int(doc) if doc else None, name, info.header_offset]
                     try:
-                        f.seek(info.header_offset)
-                        media, samples = self.open(f.read(_LOCAL.size + len(info.filename.encode()) + info.compress_size), info)
-                    except (OSError, ValueError, zlib.error):
-                        media, samples = self.member(fs, path, info)
-                    payload = samples.tobytes()
-                    row += [media, payload, len(payload.rstrip(b"\xff")), samples.shape[0], feature_of(samples), None]
-                    held += len(media) + len(payload)
-                except (OSError, ValueError, zlib.error) as error:
-                    row += [None, None, None, None, None, str(error)]
-                rows.append(row)
-                if held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+                        try:
+                            f.seek(info.header_offset)
+                            media, samples = self.open(f.read(_LOCAL.size + len(info.filename.encode()) + info.compress_size), info)
+                        except (OSError, ValueError, zlib.error):
+                            media, samples = self.member(fs, path, info)
+                        payload = samples.tobytes()
+                        row += [media, payload, len(payload.rstrip(b"\xff")), samples.shape[0], feature_of(samples), None]
+                        held += len(media) + len(payload)
+                    except (OSError, ValueError, zlib.error) as error:
+                        row += [None, None, None, None, None, str(error)]
+                    rows.append(row)
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
@@ -229,7 +241,7 @@ def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame
 
 
 def media_columns(docs: DataFrame, **columns: str) -> DataFrame:
-    """Store documents and read them back. An empty table gives no rows."""
+    """Store documents and read them back. An empty table gives no rows. Writing is an action, run at once."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     write_archives(docs, folder, **columns)
