@@ -91,10 +91,29 @@ def canonical_json(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     return turns, name
 
 
+def spread(turns: Column, key: Column) -> Column:
+    """Turns as JSON records in layouts that a hash of key chooses among those that hold them without loss: lists of three kinds, or a prompt and a completion."""
+    by, listed = F.pmod(F.xxhash64(key), F.lit(4)), {m.name: m for m in MAPPINGS if m.turns}
+
+    def written(name: str) -> Column:
+        m = listed[name]
+        roles = {v: k for k, v in m.roles.items()}
+
+        def role(x: Column) -> Column:
+            return reduce(lambda c, kv: F.when(x["role"] == kv[0], F.lit(kv[1])).otherwise(c), roles.items(), x["role"])
+
+        return F.to_json(F.struct(F.transform(turns, lambda t: F.struct(role(t).alias(m.role), t["text"].alias(m.text))).alias(m.turns)))
+
+    pair = F.transform(turns, lambda t: t["role"]) == F.array(F.lit("user"), F.lit("assistant"))
+    taken = F.exists(turns, lambda t: t["role"].isin(*listed["from_value"].roles))
+    single = F.to_json(F.struct(F.get(turns, F.lit(0))["text"].alias("prompt"), F.get(turns, F.lit(1))["text"].alias("completion")))
+    return F.when((by == 0) & pair, single).when((by == 1) & ~taken, written("from_value")).when(by == 2, written("turns")).otherwise(written("messages"))
+
+
 def canonical_struct(df: DataFrame, column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Turns of a typed struct column; its schema's fingerprint selects the mapping. An unknown layout raises ValueError."""
     paths = paths_of(df.schema[column].dataType)
-    found = [m for m in mappings if hash(_shape(m.layout)) == hash(_shape(paths)) and tuple(sorted(m.layout)) == paths]
+    found = [m for m in mappings if tuple(sorted(m.layout)) == paths]
     if not found:
         raise ValueError(f"no mapping for the fields {', '.join(paths)}")
     m = found[0]
@@ -150,7 +169,7 @@ def read_loss(text: Column, spans: Column) -> Column:
 def grouped(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows by turn as one record for each conversation: conv_id and record, a struct in the messages layout.
 
-    Turns go by number, nulls first; ties go by role, then text. Null roles and texts are empty. Rows of a null conversation are one conversation. Repeated rows are repeated turns. Other columns are not read. A conversation is one row, as its hash and text must be.
+    Turns go by number, nulls first; ties go by role, then text. Null roles and texts are empty. Rows of a null conversation are one conversation. Repeated rows are repeated turns. Other columns are not read; an empty table gives no rows. A conversation is one row, as its hash and text must be.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     groups = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("all"))

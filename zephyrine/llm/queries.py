@@ -38,7 +38,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     records = chat.grouped(rows.unionByName(more))
-    out = chat.format_chats(records, chat.canonical_struct(records, "record"))
+    # the table has one layout: its conversations are dealt to several, of which each is known again by its fingerprint
+    mixed = records.select("conv_id", chat.spread(chat.canonical_struct(records, "record"), F.col("conv_id")).alias("record"))
+    turns, layout = chat.canonical_json(F.col("record"))
+    known = mixed.select("conv_id", F.when(layout.isNull(), F.raise_error(F.lit("a record of no known layout"))).otherwise(turns).alias("turns"))
+    out = chat.format_chats(known, F.col("turns"))
     back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -67,6 +71,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "error",
     )
 
 
