@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zephyrine.llm import chat, kneser_ney, pii, queries
+from zephyrine.llm import chat, jaccard, kneser_ney, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +59,18 @@ def test_chat_layouts(spark):
         chat.canonical_struct(spark.sql("select named_struct('zzz', 'x') r"), "r")
 
 
+def test_records_of_several_layouts_are_known_by_their_fingerprints(spark):
+    odd = ["", "a", '"}]\\', "\u00e9\n\U0001f600", "\x00\x1f", "long " * 200_000]
+    rows = [(i, [(r, x) for r in roles]) for i in range(40) for x in odd for roles in (("user", "assistant"), ("user", "assistant", "user"), ("human", "gpt"), ("assistant",), ("", "system"))]
+    df = spark.createDataFrame([(n, *x) for n, x in enumerate(rows) if len(x[1][0][1]) < 1000 or x[0] < 2], f"n long, i long, turns {chat.TURNS}")
+    made = df.withColumn("record", chat.spread(F.col("turns"), F.col("n")))
+    turns, name = chat.canonical_json(F.col("record"))
+    assert made.select("turns", turns.alias("got")).where("not (turns <=> got)").count() == 0
+    assert {r[0] for r in made.select(name).distinct().collect()} == {"messages", "turns", "from_value", "prompt_completion"}
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(chat.grouped(none), chat.canonical_struct(chat.grouped(none), "record")).count() == 0
+
+
 def plain_spans(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
@@ -221,7 +233,7 @@ def test_kneser_ney_by_definition(spark):
     r = random.Random(8)
     counts = collections.Counter("".join(r.choices("abcd", weights=[5, 3, 2, 1], k=r.randrange(1, 6))) for _ in range(300))
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
-    for order in (2, 3):
+    for order in (2, 3, 5):
         model, p = kneser_ney.Model.of(kneser_ney.gram_tables(df, order), order), reference_model(counts, order)
         asked = [*list(counts)[:30], "zz", "aé", "ddddd"]
         got, sizes = model.log_scores([w.encode() for w in asked])
@@ -255,6 +267,47 @@ def test_classifier_drops_repetition_of_ordinary_words(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[i] for i in range(300, 330))
 
 
+def test_joined_scores_are_those_of_the_model(spark):
+    """Document perplexities, by the model and by joins, against the definition; order 5, and the threshold of a classifier."""
+    r = random.Random(18)
+    word = lambda: "".join(r.choices("abcde", weights=[5, 3, 2, 1, 1], k=r.randrange(1, 8)))
+    vocabulary = [word() for _ in range(60)]
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.randrange(0, 40))), "en", "x") for i in range(80)] + [(90, None, "en", "x"), (91, " zz\t\u00e9 zz", "en", "x"), (92, vocabulary[0] * 3000, "en", "x"), (3, "a", "en", "x"), (3, "a", "en", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, digest string")
+    counts = collections.Counter(w for i, t, *_ in rows if i < 60 for w in (t or "").split())
+    tables = kneser_ney.gram_tables(spark.createDataFrame(list(counts.items()), "word string, n long"), 5).cache()
+    p = reference_model(counts, 5)
+
+    def plain(words):
+        total, mixed, size = 0.0, 0.0, 0
+        for at, w in enumerate(words):
+            s = f"\x02{w}\x03"
+            v = sum(math.log(p(s[max(0, i - 4) : i], s[i])) for i in range(1, len(s)))
+            after = [b for a, b in zip(words[: at - 1], words[1:at], strict=True) if a == words[at - 1]] if at else []
+            seen = after.count(w)
+            mixed += math.log(0.5 * math.exp(v) + 0.5 * seen / len(after)) if seen else v + math.log(0.5)
+            total, size = total + v, size + len(w) + 1
+        return (size, math.exp(-total / size), math.exp(-mixed / size)) if size else (0, None, None)
+
+    want = {(i, t): plain((t or "").split()) for i, t, *_ in rows if len(t or "") < 1000}
+    for limit in (10**6, 0):
+        got = kneser_ney.perplexities(df, tables, keep=["doc_id", "text", "digest"], model_rows=limit)
+        assert got.columns == ["doc_id", "text", "digest", "n_symbols", "perplexity", "adapted"]
+        found = got.collect()
+        assert len(found) == len(rows)
+        for x in found:
+            for a, b in zip(x[3:], want.get((x.doc_id, x.text), x[3:]), strict=True):
+                assert a == b or abs(a - b) < 1e-6 * b, (limit, x.text)
+    tables.unpersist()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    out = {limit: kneser_ney.classify(df, labels, quantile=0.9, slack=1.0, train_docs=30, model_rows=limit).select("doc_id", "text", "perplexity", "threshold", "keep").collect() for limit in (10**6, 0)}
+    held = {x[0] for x in kneser_ney.sampled(df, labels, train=30).where("part = 'held'").collect()}
+    for found in out.values():
+        limit = math.exp(np.quantile([math.log(x.perplexity) for x in found if x.doc_id in held and x.perplexity], 0.9))
+        assert all(abs(x.threshold - limit) < 1e-6 * limit for x in found)
+    assert collections.Counter((x.doc_id, x.keep) for x in out[0]) == collections.Counter((x.doc_id, x.keep) for x in out[10**6])
+
+
 def test_adapted_scores_by_definition():
     r = random.Random(6)
     docs = [[r.randrange(4) for _ in range(r.randrange(30))] for _ in range(20)]
@@ -308,7 +361,37 @@ def test_pipeline_stages(spark):
         text = private[r.doc_id].text
         assert text == r.text or pii.base_spans(r.text) and not pii.base_spans(text)
         assert private[r.doc_id].n_chars == len(text)
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_pipeline_run_is_its_stages(spark, tmp_path):
+    """run against the stages' plain meaning: each document's tokens, put together again, are those of the text that the stages before leave."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id: r.keep for r in queries.op4_quality_classifier(spark, SF).collect()}
+    good = docs.where(F.col("doc_id").isin([d for d, k in kept.items() if k]))
+    rows = {r.doc_id: r.text for r in good.collect()}
+    group = {r.doc_id: r.component_id for r in jaccard.similar(good).collect()}
+    leaks = {r.doc_id for r in queries.op2_decontamination(spark, SF).collect()}
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    out = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        out[r.doc_id].append((r.start, bytes(r.ids)))
+    assert set(out) == {d for d, g in group.items() if d == g and d not in leaks}
+    for d, pieces in out.items():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces)), "<u4")
+        text = rows[d]
+        if not pii.regions(text):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        elif pii.base_spans(text):
+            assert ids.tolist() != [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    # without labels nothing is rejected, without benchmark nothing leaks
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    assert stage["quality_classifier"](spark, docs, str(tmp_path)).count() == stage["decontamination"](spark, docs, str(tmp_path)).count() == docs.count()
 
 
 def test_queries_are_registered():

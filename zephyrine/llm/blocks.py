@@ -30,8 +30,9 @@ class Corpus:
     """docs in parts: frame has part, doc_id and text. Null texts stay null; ids keep their type. The number of actions is one: the size of all texts."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-        self.id_type = rows.schema["doc_id"].dataType.simpleString()
+        self.id_type = docs.schema[id_col].dataType.simpleString()
+        # the cast lets fields of an id be null, as they come back from Python
+        rows = settled(docs.select(F.col(id_col).cast(self.id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
         self.bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.parts = self.shards = max(1, math.ceil(self.bytes / min(max(LEAST, math.isqrt(self.bytes * BLOCK)), MOST)))
         self.frame = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(self.parts)).alias("part"), "doc_id", "text")
