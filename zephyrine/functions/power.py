@@ -32,20 +32,44 @@ def _shifted(c: np.ndarray, at: float) -> np.ndarray:
     return np.concatenate((np.zeros(4 - len(moved)), moved))
 
 
-def segments(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+def pieces(x: np.ndarray, y: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(left ends of the polynomials' ranges, their coefficients, whether a range holds its left end and not its right one, but for the last)."""
+    z = np.zeros(len(x) - 1)
+    middle = (x[1:] + x[:-1]) / 2
     if kind == "cubic":
-        return spline(x, y)
-    if kind == "linear":
-        z = np.zeros(len(x) - 1)
-        return np.stack([z, z, np.diff(y) / np.diff(x), y[:-1]], 1)
+        return x[:-1], spline(x, y), True
+    if kind in ("linear", "slinear"):
+        return x[:-1], np.stack([z, z, np.diff(y) / np.diff(x), y[:-1]], 1), True
     if kind in ("previous", "zero"):
-        z = np.zeros(len(x) - 1)
-        return np.stack([z, z, z, y[:-1]], 1)
+        # the last knot has its own value
+        return x, np.stack([*[np.append(z, 0)] * 3, y], 1), True
+    if kind == "next":
+        return np.append(x[0] - 1, x[:-1]), np.stack([*[np.append(z, 0)] * 3, y], 1), False
+    if kind in ("nearest", "nearest-up"):
+        return np.append(x[0] - 1, middle), np.stack([*[np.append(z, 0)] * 3, y], 1), kind == "nearest-up"
+    if kind == "quadratic":
+        if len(x) < 3:
+            raise ValueError("a quadratic curve needs three speeds")
+        # once differentiable, with joints halfway between speeds, but for the first and the last
+        joints, scale = middle[1:-1], x[-1] - x[0]
+        u = (x - x[0]) / scale
+        basis = np.stack([u**0, u, u**2, *(np.maximum(u - (j - x[0]) / scale, 0) ** 2 for j in joints)], 1)
+        c = np.linalg.solve(basis, y)
+        left = np.append(x[0], joints)
+        at = (left - x[0]) / scale
+        second = np.cumsum(np.append(c[2], c[3:]))
+        value, slope = [], []
+        for i, t in enumerate(at):
+            own = c[3 : 3 + i]
+            gone = t - at[1 : 1 + i]
+            value.append(c[0] + c[1] * t + c[2] * t * t + float((own * gone**2).sum()))
+            slope.append(c[1] + 2 * c[2] * t + 2 * float((own * gone).sum()))
+        return left, np.stack([np.zeros(len(left)), second / scale**2, np.array(slope) / scale, np.array(value)], 1), True
     raise ValueError(f"kind {kind}")
 
 
-def power(wind: Column, speeds=None, powers=None, *, kind: str = "cubic", fill: float | None = 0.0) -> Column:
-    """Power of a wind speed by the standard curve or one of your own. Outside the curve `fill`; null without wind. speeds must rise."""
+def power(wind: Column, speeds=None, powers=None, *, kind: str = "cubic", fill: float | None = 0.0, bounds_error: bool = False) -> Column:
+    """Power of a wind speed by the standard curve or one of your own. kind: cubic, quadratic, linear (slinear), previous (zero), next, nearest (halfway goes down) or nearest-up. Outside the curve `fill`, or an error when a row gets there; null without wind. speeds must rise."""
     if (speeds is None) != (powers is None):
         raise ValueError("give both speeds and powers, or neither")
     x = np.asarray(SPEEDS if speeds is None else speeds, float)
@@ -54,19 +78,21 @@ def power(wind: Column, speeds=None, powers=None, *, kind: str = "cubic", fill:
         raise ValueError(f"{len(x)} speeds and {len(y)} powers")
     if len(x) < 2 or (np.diff(x) <= 0).any():
         raise ValueError("speeds must rise")
-    rows = segments(x, y, kind)
-    table = F.array(*(F.struct(*(F.lit(float(v)).alias(k) for k, v in zip("xabcd", (left, *row), strict=True))) for left, row in zip(x[:-1], rows, strict=True)))
-    steps = np.diff(x)
-    even = np.flatnonzero(~np.isclose(steps, steps[0]))
-    regular = int(even[0]) if len(even) else len(steps)
-    # knots of one step come first: the index is arithmetic; the rest are compared one by one
-    index = F.floor((wind - float(x[0])) / float(steps[0])).cast("int")
-    index = F.least(F.greatest(index, F.lit(0)), F.lit(max(regular - 1, 0)))
-    for i in range(regular, len(steps)):
-        index = F.when(wind >= float(x[i]), F.lit(i)).otherwise(index)
+    lefts, rows, closed = pieces(x, y, kind)
+    table = F.array(*(F.struct(*(F.lit(float(v)).alias(k) for k, v in zip("xabcd", (left, *row), strict=True))) for left, row in zip(lefts, rows, strict=True)))
+    index, regular = F.lit(0), 0
+    if closed and len(lefts) > 2:
+        # ranges of one width come first: the index is arithmetic; the rest are compared one by one
+        steps = np.diff(lefts)
+        odd = np.flatnonzero(~np.isclose(steps, steps[0], rtol=1e-12))
+        regular = int(odd[0]) if len(odd) else len(steps)
+        index = F.least(F.greatest(F.floor((wind - float(lefts[0])) / float(steps[0])).cast("int"), F.lit(0)), F.lit(regular))
+    for i in range(regular + 1, len(lefts)):
+        index = F.when(wind >= float(lefts[i]) if closed else wind > float(lefts[i]), F.lit(i)).otherwise(index)
     s = F.get(table, index)
     t = wind - s["x"]
     value = ((s["a"] * t + s["b"]) * t + s["c"]) * t + s["d"]
     outside = (wind < float(x[0])) | (wind > float(x[-1]))
+    if bounds_error:
+        return F.when(outside, F.raise_error(F.lit("a wind speed outside the curve")).cast("double")).otherwise(value)
     return F.when(outside, F.lit(fill).cast("double")).otherwise(value)
-

@@ -79,7 +79,7 @@ def vote_blend(df: DataFrame, y: str, predictions: list[str]) -> DataFrame:
 class WeightOptimizer:
     """Weights in [1e-15, 1] for a blend of predictions.
 
-    The mean squared error of a blend is a quadratic form of its weights, so one pass over the data gives a small matrix and the search needs no more. A metric of one's own (a function from the blend's Column and y's to an aggregate) costs a pass for each trial.
+    The mean squared error of a blend is a quadratic form of its weights, so one pass over the data gives a small matrix and the search needs no more. A metric of one's own (a function from the blend's Column and y's to an aggregate) costs a pass for each trial. trials counts evaluations in either case.
     """
 
     LOW, HIGH = 1e-15, 1.0
@@ -119,17 +119,43 @@ class WeightOptimizer:
         return self
 
     def _search(self, loss, n: int) -> np.ndarray:
-        """An evolution strategy that begins at equal weights; the step grows with success and shrinks without."""
+        """Evolution with an adapted covariance (CMA-ES): so many trials, from the middle of the range; points outside are taken at its border, and lose by their distance."""
         r = np.random.default_rng(self.seed)
-        best, step = np.full(n, 0.5), 0.3
-        value = loss(best)
-        for _ in range(self.trials if self.metric else 40 * self.trials):
-            w = np.clip(best + step * r.standard_normal(n), self.LOW, self.HIGH)
-            new = loss(w)
-            if new < value:
-                best, value, step = w, new, min(step * 1.4, 0.5)
-            else:
-                step = max(step * 0.95, 1e-4)
+        many = 4 + int(3 * math.log(n))
+        half = many // 2
+        share = math.log(half + 0.5) - np.log(np.arange(1, half + 1))
+        share /= share.sum()
+        mass = 1 / (share**2).sum()
+        c_path, c_step = (4 + mass / n) / (n + 4 + 2 * mass / n), (mass + 2) / (n + mass + 5)
+        c_one = 2 / ((n + 1.3) ** 2 + mass)
+        c_many = min(1 - c_one, 2 * (mass - 2 + 1 / mass) / ((n + 2) ** 2 + mass))
+        damp = 1 + 2 * max(0.0, math.sqrt((mass - 1) / (n + 1)) - 1) + c_step
+        length = math.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n * n))
+        mean, step, cov, path, path_step = np.full(n, 0.5), 0.3, np.eye(n), np.zeros(n), np.zeros(n)
+        best, value, tried = mean.copy(), loss(mean), 1
+        while tried < self.trials:
+            size, axes = np.linalg.eigh((cov + cov.T) / 2)
+            size = np.sqrt(np.maximum(size, 1e-20))
+            moves, scores = [], []
+            for _ in range(min(many, self.trials - tried)):
+                move = axes @ (size * r.standard_normal(n))
+                inside = np.clip(mean + step * move, self.LOW, self.HIGH)
+                score = loss(inside)
+                tried += 1
+                if score < value:
+                    best, value = inside, score
+                moves.append(move)
+                scores.append(score + float(((mean + step * move - inside) ** 2).sum()))
+            if len(moves) < many:
+                break
+            chosen = np.array(moves)[np.argsort(scores, kind="stable")[:half]]
+            move = share @ chosen
+            mean = mean + step * move
+            path_step = (1 - c_step) * path_step + math.sqrt(c_step * (2 - c_step) * mass) * (axes @ ((axes.T @ move) / size))
+            steady = np.linalg.norm(path_step) / math.sqrt(1 - (1 - c_step) ** (2 * tried / many)) < (1.4 + 2 / (n + 1)) * length
+            path = (1 - c_path) * path + steady * math.sqrt(c_path * (2 - c_path) * mass) * move
+            cov = (1 - c_one - c_many) * cov + c_one * np.outer(path, path) + c_many * (chosen.T * share) @ chosen
+            step = min(step * math.exp((c_step / damp) * (np.linalg.norm(path_step) / length - 1)), 1.0)
         return best
 
     def predict(self, df: DataFrame, name: str = "blend") -> DataFrame:
@@ -152,6 +178,6 @@ def kde_grid(df: DataFrame, column: str, *, low: float, high: float, points: int
     step = (high - low) / bins
     counts = some.groupBy(*keys, F.floor((F.col(column) - low) / step).alias("j")).agg(F.count(F.lit(1)).alias("c"), F.avg(column).alias("v"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * ((high - low) / (points - 1)))
-    rows = counts.join(F.broadcast(shape), list(keys)).withColumn("x", F.explode(grid))
+    rows = counts.join(shape, list(keys)).withColumn("x", F.explode(grid))
     z = (F.col("x") - F.col("v")) / F.col("h")
     return rows.groupBy(*keys, "x").agg((F.sum(F.col("c") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))

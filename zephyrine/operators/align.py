@@ -77,13 +77,20 @@ def outer_merge(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def deduce_frequency(df: DataFrame, first: int | None = None) -> DataFrame:
-    """(source, freq_min): the most common step in whole minutes, the earliest of equals; over the first so many times, or all."""
-    by_time = Window.partitionBy("source").orderBy("time")
-    times = df.select("source", "time").distinct()
+    """(source, freq_min): the most common step in whole minutes, the earliest of equals; over the first so many times, or all. Steps are taken within days and between the ends of days, so no task holds a source."""
+    day = F.to_date("time").alias("day")
+    times = df.where("time is not null").select("source", "time", day).distinct()
+    across = Window.partitionBy("source").orderBy("day")
     if first is not None:
-        times = times.withColumn("i", F.row_number().over(by_time)).where(F.col("i") <= first)
-    steps = times.withColumn("before", F.lag("time").over(by_time)).where("before is not null")
-    steps = steps.select("source", "time", F.expr("timestampdiff(MINUTE, before, time)").alias("step"))
+        # the days that hold the first times: few rows are numbered
+        days = times.groupBy("source", "day").agg(F.count(F.lit(1)).alias("n"))
+        days = days.withColumn("had", F.coalesce(F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("had") < first)
+        number = F.row_number().over(Window.partitionBy("source", "day").orderBy("time"))
+        times = times.join(days.drop("n"), ["source", "day"]).withColumn("i", number + F.col("had")).where(F.col("i") <= first).select("source", "time", "day")
+    inside = times.withColumn("before", F.lag("time").over(Window.partitionBy("source", "day").orderBy("time"))).select("source", "time", "before")
+    ends = times.groupBy("source", "day").agg(F.min("time").alias("time"), F.max("time").alias("last"))
+    between = ends.select("source", "time", F.lag("last").over(across).alias("before"))
+    steps = inside.unionByName(between).where("before is not null").select("source", "time", F.expr("timestampdiff(MINUTE, before, time)").alias("step"))
     counts = steps.groupBy("source", "step").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"))
     return counts.groupBy("source").agg(F.min_by("step", F.struct(-F.col("n"), F.col("first"))).cast("int").alias("freq_min"))
 

@@ -33,7 +33,7 @@ def seasonal_daily_cycle(series: DataFrame, names: list[str] | None = None, *, s
     cells = series.groupBy("source", F.month("time").alias("month"), F.hour("time").alias("hour")).agg(*(f(n).cast("double").alias(n) for n in kept), F.count(names[0]).alias("count"))
     freq = deduce_frequency(series, 200) if freq is None else freq
     good = F.col("count") > min_days * F.floor(60 / F.col("freq_min"))
-    cells = cells.join(F.broadcast(freq), "source").withColumns({n: F.when(good, F.col(n)) for n in kept})
+    cells = cells.join(freq, "source").withColumns({n: F.when(good, F.col(n)) for n in kept})
     if normalized:
         kept = [n for n in kept if n not in ("Dir", "U", "V")]
         whole = Window.partitionBy("source")

@@ -50,7 +50,7 @@ def tabfile_pairs(series: DataFrame, ref: str, *, sectors: int = 16, max_bin: in
     """Pairs TAB_pop, and TAB_relpop: shares relative to the reference's where that has more than 1 %; the reference side is 100 throughout (Q20), so it has no r2."""
     shares = bin_population(distribution(series, sectors=sectors, max_bin=max_bin), top=max_bin, min_samples=min_samples)
     left = shares.where(F.col("source") == ref).select(*GRID, F.col("population").alias("ref"))
-    both = shares.where(F.col("source") != ref).join(F.broadcast(left), list(GRID)).select("source", F.lit("TAB_pop").alias("var"), "ref", F.col("population").alias("new")).where("ref is not null and new is not null")
+    both = shares.where(F.col("source") != ref).join(left, list(GRID)).select("source", F.lit("TAB_pop").alias("var"), "ref", F.col("population").alias("new")).where("ref is not null and new is not null")
     if relative:
         both = both.unionByName(both.where("ref > 1").select("source", F.lit("TAB_relpop").alias("var"), F.lit(100.0).alias("ref"), (100 * F.col("new") / F.col("ref")).alias("new")))
     return as_pairs(both)

@@ -43,7 +43,7 @@ def noise(series: DataFrame, names: list[str] | None = None, *, inner: int = 3,
         return out
     if fill == "mean":
         means = out.groupBy("source").agg(*(F.avg(f"{n}-noise").alias(f"{n}-mean") for n in names))
-        out = out.join(F.broadcast(means), "source")
+        out = out.join(means, "source")
         return out.select("source", "time", *(F.coalesce(f"{n}-noise", f"{n}-mean").alias(f"{n}-noise") for n in names))
     return out.na.fill(float(fill), subset=[f"{n}-noise" for n in names])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import CIRCULAR, CUMULATIVE
@@ -26,10 +27,10 @@ def min_values_period(period: str, per_hour: int | None) -> int:
     return int(share * hours * per_hour)
 
 
-def resample(df: DataFrame, unit: str, names: list[str], *, keys=("source",), least: int = 0, summed=SUMMED) -> DataFrame:
-    """Means (sums of cumulative variables) by period. A period with fewer than `least` rows is null: rows count, whether or not they have a value."""
+def resample(df: DataFrame, unit: str, names: list[str], *, keys=("source",), least: int = 0, summed=SUMMED, function: Callable[[str], Column] | None = None) -> DataFrame:
+    """Means (sums of cumulative variables) by period, or function, from a column's name to an aggregate. A period with fewer than `least` rows is null: rows count, whether or not they have a value."""
     enough = F.count(F.lit(1)) >= least
-    aggs = [F.when(enough, F.sum(n) if n in summed else F.avg(n)).alias(n) for n in names]
+    aggs = [F.when(enough, function(n) if function else F.sum(n) if n in summed else F.avg(n)).alias(n) for n in names]
     return df.groupBy(*keys, F.date_trunc(unit, "time").cast("timestamp_ntz").alias("time")).agg(*aggs)
 
 

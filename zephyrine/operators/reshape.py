@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"^([A-Za-z]+)_(\d+(?:\.\d+)?)$")
@@ -114,7 +114,7 @@ def fillna_scalar_or_mean(df: DataFrame, column: str, fill: float | str, keys: t
     if fill != "mean":
         return df.withColumn(column, F.coalesce(column, F.lit(float(fill))))
     means = df.groupBy(*keys).agg(F.avg(column).alias("__mean"))
-    return df.join(F.broadcast(means), list(keys)).withColumn(column, F.coalesce(column, "__mean")).drop("__mean")
+    return df.join(means, list(keys)).withColumn(column, F.coalesce(column, "__mean")).drop("__mean")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -123,14 +123,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def lag_and_lead(df: DataFrame, names: list[str], keys: tuple[str, ...] = ("source",), time: str = "time") -> DataFrame:
-    """{var}_lag1 is the value of the next row, {var}_lead1 that of the row before: the names are the wrong way round, as users of them expect (Q15)."""
-    from pyspark.sql import Window
-
+    """{var}_lag1 is the value of the next row, {var}_lead1 that of the row before: the names are the wrong way round, as users of them expect (Q15). Rows are ordered within days, and days by their ends, so no task holds a series; rows without a time come first."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {', '.join(missing)}")
-    w = Window.partitionBy(*keys).orderBy(time)
-    return df.withColumns({k: v for n in names for k, v in ((f"{n}_lag1", F.lead(n).over(w)), (f"{n}_lead1", F.lag(n).over(w)))})
+    day, row = F.to_date(time), F.struct(*(_column(n) for n in names))
+    marked = df.withColumn("__day", day)
+    own = Window.partitionBy(*keys, "__day").orderBy(time)
+    inside = marked.withColumns({"__next": F.lead(row).over(own), "__last": F.lag(row).over(own), "__at": F.row_number().over(own), "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys, "__day"))})
+    # the first and last rows of a day take from the days beside it
+    ends = inside.where("__at = 1 or __at = __n").groupBy(*keys, "__day").agg(F.min_by(row, "__at").alias("__first"), F.max_by(row, "__at").alias("__end"))
+    across = Window.partitionBy(*keys).orderBy("__day")
+    ends = ends.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__day").alias("__of"), F.lead("__first").over(across).alias("__after"), F.lag("__end").over(across).alias("__before"))
+    on = reduce(lambda x, y: x & y, (inside[k].eqNullSafe(ends[f"__{k}"]) for k in keys), inside["__day"].eqNullSafe(ends["__of"]))
+    joined = inside.join(ends, on)
+    after, before = F.when(F.col("__at") == F.col("__n"), F.col("__after")).otherwise(F.col("__next")), F.when(F.col("__at") == 1, F.col("__before")).otherwise(F.col("__last"))
+    return joined.select(*(_column(c) for c in df.columns), *(x for n in names for x in (after.getField(n).alias(f"{n}_lag1"), before.getField(n).alias(f"{n}_lead1"))))
 
 
 def join_features(features: DataFrame, targets: DataFrame, how: str = "left", on: str = "time") -> DataFrame:

@@ -142,8 +142,7 @@ def deduced_stats(stats: DataFrame, group=("source", "var")) -> DataFrame:
 def compute_quality(stats: DataFrame, rule_table: DataFrame | None = None) -> DataFrame:
     """(source, var, metric, perfect, good, weight, value, quality_index, quality_weighted) for every rule and source; value is null where the metric is missing."""
     rule_table = rules(stats.sparkSession) if rule_table is None else rule_table
-    sources = stats.select("source").distinct()
-    wanted = sources.crossJoin(F.broadcast(rule_table))
+    wanted = stats.select("source").distinct().crossJoin(rule_table)
     out = wanted.join(stats, ["source", "var", "metric"], "left").withColumn("quality_index", quality_index(F.col("value"), F.col("perfect"), F.col("good")))
     return out.select("source", "var", "metric", "perfect", "good", "weight", "value", "quality_index", (F.col("quality_index") * F.col("weight")).alias("quality_weighted"))
 
@@ -194,7 +193,7 @@ def all_sources_stats(series: DataFrame, ref: str, names=None, *, extras: dict[s
     rate = per_hour(matched, ref) if periods else 0
     resampled = [p for p in periods if p != "hourly" or rate != 1]
     if len(resampled) < len(periods):  # an hourly series is its own hourly mean
-        same = out.where(F.col("metric").isin("length", "r2", "rmse", "MAE", "SAE", "EMD")).join(F.broadcast(rows.select("var").distinct()), "var", "left_semi")
+        same = out.where(F.col("metric").isin("length", "r2", "rmse", "MAE", "SAE", "EMD")).join(rows.select("var").distinct(), "var", "left_semi")
         out = out.unionByName(same.withColumn("metric", F.concat("metric", F.lit("_hourly"))))
     if resampled:
         out = out.unionByName(stats_of_resampled(cut(resampled_rows(rows, resampled, rate), "resampled")))

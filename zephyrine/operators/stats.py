@@ -1,6 +1,6 @@
 """Comparison of a new series with a reference: metrics as rows (source, var, metric, value).
 
-Pairs are rows (source, var, key, ref, new[, weight]). Everything but the distribution distance is one aggregate over them.
+Pairs are rows (source, var, key, ref, new[, weight]). Moments and errors are one aggregate over them; distribution distances and exact quantiles share a second way, over counted values by buckets, so that no task holds a group's distinct values.
 """
 
 from __future__ import annotations
@@ -37,15 +37,10 @@ def slope(y: Column, x: Column) -> Column:
     return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
 
 
-def _quantiles(x: Column, accuracy: int | None) -> Column:
-    at = F.array(*(F.lit(q) for q in QUANTILES))
-    return F.percentile(x, at) if accuracy is None else F.percentile_approx(x, list(QUANTILES), accuracy)
-
-
 def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None, quantiles: bool = True, quantile_errors: bool = True, linear_fit: bool = True, distance: bool = True, distribution_only: bool = False, accuracy: int | None = None, least: int | Column = 2) -> DataFrame:
     """Metrics of each group. base names the variable whose rules apply (var itself unless given). With fewer than `least` rows (a number, or a Column of var) a group has none.
 
-    length counts rows with nulls; means and quantiles take each side by itself, errors take pairs. Quantities without a value are left out. accuracy: quantiles by percentile_approx instead of exactly, for groups whose distinct values don't fit into a task. weighted_MAE is the root of the weighted mean error.
+    length counts rows with nulls; means and quantiles take each side by itself, errors take pairs. Quantities without a value are left out. accuracy: quantiles by percentile_approx in the one aggregate instead of exactly. weighted_MAE is the root of the weighted mean error.
     """
     rows = pairs.withColumn("base", F.col("var") if base is None else base)
     rows = rows.withColumn("e", error())
@@ -55,14 +50,14 @@ def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None,
     for side in ("ref", "new"):
         x = F.col(side)
         aggs |= {f"mean_{side}": F.avg(x), f"cmean_{side}": circular_mean(x), f"std_{side}": F.stddev_pop(x), f"cstd_{side}": circular_std(x), f"sum_{side}": F.sum(x), f"max_{side}": F.max(x)}
-        if quantiles:
-            aggs[f"q_{side}"] = _quantiles(x, accuracy)
+        if quantiles and accuracy:
+            aggs[f"q_{side}"] = F.percentile_approx(x, list(QUANTILES), accuracy)
     if not distribution_only:
         aggs |= {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "sae": F.sum(F.abs(e)), "corr": pearson(turned, ref)}
         if linear_fit:
             aggs |= {"slope": slope(turned, ref), "intercept": F.avg(F.when(ref.isNotNull(), turned)) - slope(turned, ref) * F.avg(F.when(turned.isNotNull(), ref))}
-        if quantile_errors:
-            aggs |= {"q_e": _quantiles(e, accuracy), "q_ae": _quantiles(F.abs(e), accuracy)}
+        if quantile_errors and accuracy:
+            aggs |= {"q_e": F.percentile_approx(e, list(QUANTILES), accuracy), "q_ae": F.percentile_approx(F.abs(e), list(QUANTILES), accuracy)}
         if "weight" in pairs.columns:
             w = F.when(e.isNotNull(), F.col("weight"))
             aggs |= {"wrmse": F.sqrt(F.try_divide(F.sum(w * e * e), F.sum(w))), "wmae": F.sqrt(F.try_divide(F.sum(w * F.abs(e)), F.sum(w)))}
@@ -89,23 +84,36 @@ def compare_stats(pairs: DataFrame, *, group=GROUP, base: Column | None = None,
     ]
     if distribution_only:
         out.append(("bias_length", (F.col("n_new") - F.col("n_ref")).cast("double")))
-    if quantiles:
-        for i, q in enumerate(QUANTILES):
-            out += [(f"q{q}", F.col("q_new")[i]), (f"bias_q{q}", turn(F.col("q_new")[i] - F.col("q_ref")[i]))]
     if not distribution_only:
         out += [("MAE", F.col("mae")), ("rmse", F.col("rmse")), ("r2", F.col("corr") * F.col("corr")), ("SAE", F.when(cumulative, F.col("sae")))]
         if linear_fit:
             out += [("lfit_slope", F.col("slope")), ("lfit_intercept", F.col("intercept"))]
-        if quantile_errors:
-            for i, q in enumerate(QUANTILES):
-                out += [(f"td_bias_q{q}", F.col("q_e")[i]), (f"td_error_q{q}", F.col("q_ae")[i])]
         if "weight" in pairs.columns:
             out += [("weighted_rmse", F.col("wrmse")), ("weighted_MAE", F.col("wmae"))]
+    sides = [("bias_q", lambda i: turn(F.col("q_new")[i] - F.col("q_ref")[i])), ("q", lambda i: F.col("q_new")[i])] if quantiles else []
+    errors = [("td_bias_q", lambda i: F.col("q_e")[i]), ("td_error_q", lambda i: F.col("q_ae")[i])] if quantile_errors and not distribution_only else []
+
+    def at(named: list) -> list[tuple[str, Column]]:
+        return [(f"{name}{q}", value(i)) for i, q in enumerate(QUANTILES) for name, value in named]
+
+    if accuracy:
+        out += at(sides) + at(errors)
     stats = as_rows(one, group, out)
-    if not distance:
+    if not distance and (accuracy or not (sides or errors)):
         return stats
-    enough = one.select(*group)
-    return stats.unionByName(emd(pairs, group).join(enough, list(group), "left_semi").select(*group, F.lit("EMD").alias("metric"), F.col("emd").alias("value")))
+    # two streams of values for each pair: its sides, and its error with and without sign
+    kinds = [F.struct(F.lit(0).alias("kind"), ref.alias("ref"), new.alias("new"))]
+    if errors and not accuracy:
+        kinds.append(F.struct(F.lit(1).alias("kind"), e.alias("ref"), F.abs(e).alias("new")))
+    streams = rows.select(*group, "base", F.inline(F.array(*kinds)))
+    found = distributions(streams, [*group, "base", "kind"], () if accuracy else QUANTILES)
+    found = found.join(one.select(*group, "base"), [*group, "base"], "left_semi")
+    first = F.col("kind") == 0
+    cells = [("EMD", F.when(first, F.col("emd")))] if distance else []
+    if not accuracy:
+        found = found.withColumns({"q_e": F.col("q_ref"), "q_ae": F.col("q_new")})
+        cells += [(k, F.when(first, v)) for k, v in at(sides)] + [(k, F.when(~first, v)) for k, v in at(errors)]
+    return stats.unionByName(as_rows(found, group, cells))
 
 
 def as_rows(one: DataFrame, group, metrics: list[tuple[str, Column]]) -> DataFrame:
@@ -115,24 +123,44 @@ def as_rows(one: DataFrame, group, metrics: list[tuple[str, Column]]) -> DataFra
 
 
 def emd(pairs: DataFrame, group=GROUP, buckets: int = 1024) -> DataFrame:
-    """(group, emd): area between the two distribution functions, whose samples need not be equally many.
+    """(group, emd): area between the two distribution functions, whose samples need not be equally many; groups that lack a side have none."""
+    return distributions(pairs, list(group), (), buckets).where("emd is not null").select(*group, "emd")
+
+
+def distributions(pairs: DataFrame, group: list[str], quantiles=QUANTILES, buckets: int = 1024) -> DataFrame:
+    """(group, emd, q_ref, q_new): the area between the distribution functions of ref and new (null without either), and exact quantiles of both, between the two values next to a rank as a line.
 
     Values are counted first; running sums go by buckets of the value range and are joined by the buckets' own running sums, so no task holds more than a bucket of a group.
     """
-    group = list(group)
     sides = F.array(F.struct(F.col("ref").alias("v"), F.lit(1).alias("r"), F.lit(0).alias("n")), F.struct(F.col("new").alias("v"), F.lit(0).alias("r"), F.lit(1).alias("n")))
     values = pairs.select(*group, F.inline(sides)).where("v is not null").groupBy(*group, "v").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
-    bounds = values.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("r").alias("all_r"), F.sum("n").alias("all_n")).where("all_r > 0 and all_n > 0")
-    points = values.join(F.broadcast(bounds) if len(group) <= 2 else bounds, group)
+    bounds = values.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("r").alias("all_r"), F.sum("n").alias("all_n"))
+    points = values.join(bounds, group)
     bucket = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1)), F.lit(0))
-    points = points.select(*group, "v", (F.col("r") / F.col("all_r") - F.col("n") / F.col("all_n")).alias("w"), bucket.alias("bucket"))
+    points = points.select(*group, "v", "r", "n", "all_r", "all_n", bucket.alias("bucket"))
     own = Window.partitionBy(*group, "bucket").orderBy("v")
-    inside = points.withColumns({"run": F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("v").over(own)})
+    up_to = own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = points.withColumns({"run_r": F.sum("r").over(up_to), "run_n": F.sum("n").over(up_to), "after": F.lead("v").over(own)})
     across = Window.partitionBy(*group).orderBy("bucket")
-    ends = points.groupBy(*group, "bucket").agg(F.sum("w").alias("w"), F.min("v").alias("first"))
-    ends = ends.select(*group, "bucket", F.coalesce(F.sum("w").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(across).alias("next"))
-    area = F.abs(F.col("before") + F.col("run")) * (F.coalesce("after", "next") - F.col("v"))
-    return inside.join(ends, [*group, "bucket"]).groupBy(*group).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("emd"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = points.groupBy(*group, "bucket").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.min("v").alias("first"))
+    ends = ends.select(*group, "bucket", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"before_{x}") for x in "rn"), F.lead("first").over(across).alias("next"))
+    whole = inside.join(ends, [*group, "bucket"]).withColumns({f"upto_{x}": F.col(f"before_{x}") + F.col(f"run_{x}") for x in "rn"})
+    area = F.abs(F.try_divide("upto_r", "all_r") - F.try_divide("upto_n", "all_n")) * (F.coalesce("after", "next") - F.col("v"))
+    both = (F.max("all_r") > 0) & (F.max("all_n") > 0)
+    aggs = {"emd": F.when(both, F.coalesce(F.sum(area), F.lit(0.0)))}
+    for side, x in (("ref", "r"), ("new", "n")):
+        for i, q in enumerate(quantiles):
+            rank = F.lit(float(q)) * (F.col(f"all_{x}") - 1)
+            aggs |= {f"{side}_{i}_{end}": F.min(F.when(F.col(f"upto_{x}") > whole_rank, F.col("v"))) for end, whole_rank in (("low", F.floor(rank)), ("high", F.ceil(rank)))}
+            aggs[f"{side}_{i}_part"] = F.max(rank - F.floor(rank))
+    one = whole.groupBy(*group).agg(*(v.alias(k) for k, v in aggs.items()))
+
+    def line(side: str, i: int) -> Column:
+        low, high, part = (F.col(f"{side}_{i}_{x}") for x in ("low", "high", "part"))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    return one.select(*group, "emd", *(F.array(*(line(s, i) for i in range(len(quantiles)))).alias(f"q_{s}") for s in (("ref", "new") if quantiles else ())))
 
 
 #: Columns of pairs that go through one comparison together.

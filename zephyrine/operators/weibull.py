@@ -1,13 +1,15 @@
-"""Weibull fits: by moments, by the likelihood of values, or by that of a histogram. The shape is the root of a rising function, found by bisection inside an expression."""
+"""Weibull fits: by moments, by the likelihood of values, or by that of a histogram. The shape is the root of a rising function, found by bisection inside an expression where it is a histogram's, and by Newton steps that are aggregates each where it is that of values, however many."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrine.functions.wind import derive, sector
+from zephyrine.session import cut
 
 from .stats import as_pairs, as_rows, compare_stats, emd, pearson
 
@@ -81,6 +83,26 @@ def weibull_params(hist: DataFrame, keys: list[str]) -> DataFrame:
     return fits.withColumn("A", _scale(F.col("bins"), F.col("k"))).select(*keys, "mean", "variance", "k", "A", F.col("count").cast("bigint").alias("count"))
 
 
+def weibull_values(values: DataFrame, keys: list[str], steps: int = 10) -> DataFrame:
+    """(keys, k, A) from counted values (keys, b, n), b above 0, at the top of their likelihood. Each step is one aggregate over the values, which are written once; no array holds them. One value alone has no shape."""
+    values = cut(values, "values")
+    ln, n = F.log("b"), F.col("n")
+    state = values.groupBy(*keys).agg(F.sum("n").alias("all"), (F.sum(n * ln) / F.sum("n")).alias("r"), F.max(ln).alias("top"), (F.sum(n * F.col("b")) / F.sum("n")).alias("m"), (F.sum(n * F.col("b") * F.col("b")) / F.sum("n")).alias("q"), F.count(F.lit(1)).alias("different"))
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(1e-12)))
+    start = F.least(F.greatest(F.pow(spread / F.col("m"), -1.086), F.lit(LOW)), F.lit(HIGH))
+    state = state.where("different > 1").select(*keys, "all", "r", "top", start.alias("k"))
+    rest = [F.first(c).alias(c) for c in ("all", "r", "top", "k")]
+    power = F.exp(F.col("k") * (ln - F.col("top"))) * n  # against the largest value, so that nothing overflows
+    for _ in range(steps):
+        sums = values.join(state, keys).groupBy(*keys).agg(F.sum(power).alias("s0"), F.sum(power * ln).alias("s1"), F.sum(power * ln * ln).alias("s2"), *rest)
+        mean = F.col("s1") / F.col("s0")
+        slope, bend = mean - 1 / F.col("k") - F.col("r"), F.col("s2") / F.col("s0") - mean * mean + 1 / (F.col("k") * F.col("k"))
+        new = F.col("k") - slope / bend
+        state = sums.select(*keys, "all", "r", "top", F.least(F.greatest(new, F.col("k") / 3, F.lit(LOW)), F.col("k") * 3, F.lit(HIGH)).alias("k"))
+    last = values.join(state, keys).groupBy(*keys).agg(F.sum(power).alias("s0"), *rest)
+    return last.select(*keys, "k", (F.pow(F.col("s0") / F.col("all"), 1 / F.col("k")) * F.exp("top")).alias("A"))
+
+
 def weibull_fit(values: DataFrame, keys: list[str], *, method: str = "histogram", column: str = "M") -> DataFrame:
     """(keys, mean, variance, k, A, count) of a column. Fewer than 10 values give nulls but for the count.
 
@@ -94,8 +116,9 @@ def weibull_fit(values: DataFrame, keys: list[str], *, method: str = "histogram"
         fits = plain.withColumn("k", F.when(F.col("variance") > 0, k)).withColumn("A", F.col("mean") / gamma(1 + 1 / F.col("k")))
     elif method in ("values", "histogram"):
         b = F.col("x") if method == "values" else F.floor("x") + 0.5
-        own = weibull_params(some.groupBy(*keys, b.alias("b")).agg(F.count(F.lit(1)).alias("n")), keys).drop("count")
-        fits = plain.drop("mean", "variance").join(own, keys, "left") if method == "histogram" else plain.join(own.select(*keys, "k", "A"), keys, "left")
+        counted = some.groupBy(*keys, b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        own = weibull_values(counted.where("b > 0"), keys) if method == "values" else weibull_params(counted, keys).drop("count")
+        fits = plain.drop("mean", "variance").join(own, keys, "left") if method == "histogram" else plain.join(own, keys, "left")
     else:
         raise ValueError(f"method {method}")
     return fits.select(*keys, *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "variance", "k", "A")), "count")
@@ -133,7 +156,7 @@ def weibull_rows(series: DataFrame, ref: str, *, sectors: int | None = None, met
     fits = weibull_ds(series, sectors=sectors, method=method)
     left = fits.where(F.col("source") == ref).select("sector", F.col("A").alias("rA"), F.col("k").alias("rk"))
     right = fits.where(F.col("source") != ref)
-    both = right.alias("n").join(F.broadcast(left.alias("r")), F.col("n.sector").eqNullSafe(F.col("r.sector"))).select("source", F.col("n.sector").alias("sector"), "A", "k", "rA", "rk", "count")
+    both = right.alias("n").join(left.alias("r"), F.col("n.sector").eqNullSafe(F.col("r.sector"))).select("source", F.col("n.sector").alias("sector"), "A", "k", "rA", "rk", "count")
     rows = both.select("source", "sector", "count", F.inline(F.array(*(F.struct(F.lit(v).alias("var"), F.col("r" + v).alias("ref"), F.col(v).alias("new")) for v in ("A", "k")))))
     whole = as_rows(rows.where("sector is null"), ("source", "var"), [("mean", F.col("new")), ("bias", F.col("new") - F.col("ref")), ("factor", F.try_divide(F.col("ref"), F.col("new")))])
     by = rows.where("sector is not null").select("source", F.concat("var", F.lit("_sector")).alias("var"), "ref", "new", F.col("count").cast("double").alias("weight"))
@@ -145,8 +168,17 @@ def compare_weibulls(series: DataFrame, ref: str, *, sectors: int | None = None,
     return whole.unionByName(compare_stats(by, base=F.col("base"), **options)) if sectors else whole
 
 
-def apply_by_sectors(df: DataFrame, aggs: dict[str, Column], *, sectors: int = 16, keys: list[str] | None = None) -> DataFrame:
-    """Aggregates by sector of Dir, with the sector's middle in degrees."""
+def apply_by_sectors(df: DataFrame, aggs: dict[str, Column] | Callable, *, sectors: int = 16, keys: list[str] | None = None, schema: str | None = None) -> DataFrame:
+    """Aggregates by sector of Dir, with the sector's middle in degrees; or a function from a pandas frame (a sector's rows, with the middle as `sector`) to one of schema, for what no aggregate can do: it needs a sector's rows in one task."""
     keys = ["source"] if keys is None else keys
     with_sector = df.withColumn("sector", sector(derive(df, "Dir"), sectors) * (360.0 / sectors))
+    if callable(aggs):
+        return apply_groups(with_sector, aggs, schema, [*keys, "sector"])
     return with_sector.groupBy(*keys, "sector").agg(*(v.alias(k) for k, v in aggs.items()))
+
+
+def apply_groups(df: DataFrame, function: Callable, schema: str, keys: list[str]) -> DataFrame:
+    """A function from each group's pandas frame to one of schema, which should repeat the keys: a reducer of one's own. A group must fit into a task; whatever aggregates can say belongs into groupBy."""
+    if not schema:
+        raise ValueError("a function needs the schema of what it returns")
+    return df.groupBy(*keys).applyInPandas(function, schema)
