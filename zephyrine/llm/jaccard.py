@@ -130,12 +130,14 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray | No
         circle = np.flatnonzero(100 * both >= far * every) + low
         own = ~owned[circle] & (100 * both >= near * every)[circle - low]
         owned[circle[own]] = True
-        if len(circle) > 1:
-            for x, y in _around(ranked[pivot], [ranked[i] for i in circle], by_size[circle], own, None if sides is None else sides[circle], percent):
-                a, b = top(int(circle[x])), top(int(circle[y]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    found.append((int(order[circle[x]]), int(order[circle[y]])))
+        for x, y in _around(ranked[pivot], [ranked[i] for i in circle], by_size[circle], both[circle - low], np.flatnonzero(own), percent) if len(circle) > 1 else ():
+            x, y = int(circle[x]), int(circle[y])
+            if sides is not None and sides[x] == sides[y]:
+                continue
+            a, b = top(x), top(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(order[x]), int(order[y])))
     return found
 
 
@@ -143,23 +145,33 @@ def _index(parts: list[np.ndarray]) -> Index:
     return Index(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), len(parts))
 
 
-def _around(pivot: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, own: np.ndarray, sides: np.ndarray | None, percent: int):
-    """Similar pairs (by number) of sets of rising sizes, of which one belongs to the pivot."""
-    lacks = [np.setdiff1d(pivot, x, assume_unique=True) for x in sets]
-    adds = [np.setdiff1d(x, pivot, assume_unique=True) for x in sets]
-    without, with_ = _index(lacks), _index(adds)
-    lacking = np.fromiter(map(len, lacks), np.int64, len(sets))
-    for y in range(1, len(sets)):
-        low = int(np.searchsorted(sizes, -(-percent * sizes[y] // 100)))
-        if low >= y:
-            continue
+def _around(pivot: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, own: np.ndarray, percent: int):
+    """Similar pairs (by number) of sets of rising sizes, of which one is of own, the pivot's sets. shared: how many tokens each has in common with the pivot."""
+
+    def similar(y: int, both: np.ndarray, low: int, high: int):
+        for x in np.flatnonzero(100 * both >= percent * (sizes[low:high] + sizes[y] - both)) + low:
+            if x != y:
+                yield int(x), int(y)
+
+    if len(own) == 1:  # the pivot alone, whose answers are there
+        yield from similar(int(own[0]), shared, 0, len(sets))
+        return
+    number = np.repeat(np.arange(len(sets)), sizes)
+    tokens = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)
+    held = pivot[at] == tokens
+    has = np.zeros((len(sets), len(pivot)), bool)
+    has[number[held], at[held]] = True
+    set_of, place = np.nonzero(~has)
+    added, adder = tokens[~held], number[~held]
+    without, with_ = Index(place, set_of, len(sets)), Index(added, adder, len(sets))
+    ends = np.searchsorted(adder, np.arange(len(sets) + 1))
+    lacking = len(pivot) - shared
+    for y in own:
+        low, high = int(np.searchsorted(sizes, -(-percent * sizes[y] // 100))), int(np.searchsorted(sizes, 100 * sizes[y] // percent, "right"))
         # the pivot's answer, less what either lacks, and back what both lack; then what both add
-        both = len(pivot) - lacking[low:y] - lacking[y] + without.overlaps(lacks[y], low, y) + with_.overlaps(adds[y], low, y)
-        hit = (100 * both >= percent * (sizes[low:y] + sizes[y] - both)) & (own[low:y] | own[y])
-        if sides is not None:
-            hit &= sides[low:y] != sides[y]
-        for x in np.flatnonzero(hit) + low:
-            yield int(x), y
+        both = len(pivot) - lacking[low:high] - lacking[y] + without.overlaps(np.flatnonzero(~has[y]), low, high) + with_.overlaps(added[ends[y] : ends[y + 1]], low, high)
+        yield from similar(int(y), both, low, high)
 
 
 def _compare(percent: int):
