@@ -90,3 +90,19 @@ def test_calendar(spark):
     assert dict(single.dtypes)["id_sin_1"] == "float"
     with pytest.raises(ValueError):
         dates.bulk_fourier(n, ["id"], [1, 2])
+
+
+def test_curve_kinds(spark):
+    x, y = [0.0, 1.0, 3.0, 4.0, 6.0], [0.0, 1.0, 9.0, 16.0, 36.0]
+    ask = [0.0, 0.5, 0.6, 1.0, 2.0, 3.7, 5.0, 6.0, 6.1, None]
+    by = {k: values(spark, lambda c, k=k: power.power(c, x, y, kind=k, fill=-1.0), ask) for k in ("quadratic", "linear", "slinear", "previous", "zero", "next", "nearest", "nearest-up")}
+    assert np.allclose(by["quadratic"][:8], [v * v for v in ask[:8]], atol=1e-9)  # a parabola is its own curve
+    assert by["linear"] == by["slinear"] and by["previous"] == by["zero"] == [0, 0, 0, 1, 1, 9, 16, 36, -1, None]
+    assert by["next"] == [0, 1, 1, 1, 9, 16, 36, 36, -1, None]
+    assert by["nearest"] == [0, 0, 1, 1, 1, 16, 16, 36, -1, None] and by["nearest-up"] == [0, 1, 1, 1, 9, 16, 36, 36, -1, None]
+    smooth = values(spark, lambda c: power.power(c, [0, 1, 2, 3, 5], [0, 5, 1, 7, 2], kind="quadratic"), [0.0, 1.0, 2.0, 3.0, 5.0, 1.5 - 1e-6, 1.5 + 1e-6])
+    assert np.allclose(smooth[:5], [0, 5, 1, 7, 2], atol=1e-9) and abs(smooth[5] - smooth[6]) < 1e-4
+    with pytest.raises(Exception, match="outside the curve"):
+        values(spark, lambda c: power.power(c, x, y, bounds_error=True), [7.0])
+    with pytest.raises(ValueError):
+        power.power(F.lit(1.0), x, y, kind="other")

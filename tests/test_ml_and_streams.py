@@ -63,6 +63,22 @@ def test_density_sums_to_one(rows):
     assert math.isclose(grid.agg(F.sum("density")).first()[0] * 0.1, 1, rel_tol=1e-3)
 
 
+def test_trials_are_trials(rows):
+    import numpy as np
+
+    for n, trials in ((2, 60), (5, 300)):
+        seen = []
+        target = np.linspace(0.2, 0.9, n)
+
+        def loss(w, seen=seen, target=target):
+            seen.append(w)
+            return float(((w - target) ** 2).sum())
+
+        best = blend.WeightOptimizer(trials=trials)._search(loss, n)
+        assert len(seen) <= trials and np.abs(best - target).max() < 0.05
+        assert all((w >= 1e-15).all() and (w <= 1).all() for w in seen)
+
+
 def test_training_resumes(spark, rows, tmp_path):
     options = {"splits": 2, "iterations": 4, "depth": 2, "folder": str(tmp_path)}
     first = train.train_boosted(rows, ["x"], "y", **options)

@@ -176,7 +176,7 @@ def test_quality_bounds(spark):
 def test_full_score_of_a_perfect_submission(spark):
     from zephyrine.plans import fixtures
 
-    ref = fixtures.wind(spark).where("source = 'ref'").drop("source")
+    ref = fixtures.wind(spark, "/root/testdata/sf0.001").where("source = 'ref'").drop("source")
     quality, total = score.score(ref, ref)
     row = total.first()
     assert math.isclose(row.quality, 10, abs_tol=1e-6) and row.rules_used >= 70, quality.where("quality_index is null").collect()
@@ -221,3 +221,80 @@ def test_csv_and_submission(spark, tmp_path):
     sources.write_parquet(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert sources.get_logger("zephyrine.test", str(tmp_path / "log")) is sources.get_logger("zephyrine.test")
+
+
+def test_quantiles_are_exact_and_bounded_by_buckets(spark):
+    r = random.Random(3)
+    rows = [(s, "Dir" if s == "c" else "M", r.choice([None, r.uniform(0, 30), float(r.randrange(5))]), r.choice([None, r.gauss(10, 4)])) for s in "abc" for _ in range(400)] + [("d", "M", 1.0, None), ("d", "M", 2.0, None), ("e", "M", 5.0, 5.0), ("e", "M", 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "source string, var string, ref double, new double")
+    got = {x.source: x for x in stats.distributions(df, ["source"], stats.QUANTILES).collect()}
+    for s in "abcde":
+        for side, i in (("q_ref", 2), ("q_new", 3)):
+            have = [x[i] for x in rows if x[0] == s and x[i] is not None]
+            want = np.quantile(have, stats.QUANTILES) if have else [None] * 5
+            assert all(a is None and b is None or math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got[s][side], want, strict=True)), (s, side)
+    assert got["d"].emd is None and got["e"].emd == 0
+    metrics = {(x.source, x.metric): x.value for x in stats.compare_stats(df).collect()}
+    e = [n - f for s, _, f, n in rows if s == "a" and f is not None and n is not None]
+    assert math.isclose(metrics["a", "td_bias_q0.25"], np.quantile(e, 0.25), abs_tol=1e-9) and math.isclose(metrics["a", "td_error_q0.98"], np.quantile(np.abs(e), 0.98), abs_tol=1e-9)
+    near = {(x.source, x.metric): x.value for x in stats.compare_stats(df, accuracy=10000).collect()}
+    assert set(near) == set(metrics) and all(abs(near[k] - v) < 0.5 for k, v in metrics.items() if "_q" not in k[1] and not k[1].startswith("q"))
+
+
+def test_frequency_and_lags_over_days(spark):
+    times = [at(10 * i) for i in range(0, 400)] + [at(10 * 400 + 37 * i) for i in range(500)] + [at(60 * 24 * 40), at(60 * 24 * 40 + 5)]
+    rows = [("a", t, float(i)) for i, t in enumerate(times)] + [("b", at(0), 1.0), (None, at(3), 2.0), (None, None, 7.0)]
+    df = spark.createDataFrame(rows, "source string, time timestamp_ntz, M double")
+    assert {x.source: x.freq_min for x in align.deduce_frequency(df).collect()} == {"a": 37}
+    assert {x.source: x.freq_min for x in align.deduce_frequency(df, 200).collect()} == {"a": 10}
+    got = {(x.source, x.time): (x.M_lag1, x.M_lead1) for x in reshape.lag_and_lead(df, ["M"]).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(times):
+        assert got["a", t] == (float(i + 1) if i + 1 < len(times) else None, float(i - 1) if i else None)
+    assert got["b", at(0)] == (None, None) and got[None, at(3)] == (None, 7.0) and got[None, None] == (2.0, None)
+
+
+def test_shape_of_values_by_aggregates(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, float(x)) for k, shape in (("a", 2.0), ("b", 0.8), ("c", 7.0)) for x in 9 * r.weibull(shape, 3000)] + [("d", 3.0)] * 12 + [("e", 1.0)]
+    df = spark.createDataFrame(rows, "source string, M double")
+    got = {x.source: x for x in weibull.weibull_fit(df, ["source"], method="values").collect()}
+    for s in "abc":
+        x = np.array([v for k, v in rows if k == s])
+        slope = (x ** got[s].k * np.log(x)).sum() / (x ** got[s].k).sum() - 1 / got[s].k - np.log(x).mean()
+        assert abs(slope) < 1e-9 and math.isclose(got[s].A, (x ** got[s].k).mean() ** (1 / got[s].k))
+    assert got["d"].k is None and got["e"]["count"] == 1
+
+
+def test_functions_by_group(spark):
+    df = spark.createDataFrame([("a", 1.0, 10.0), ("a", 3.0, 11.0), ("b", 2.0, 100.0)], "source string, M double, Dir double")
+    with pytest.raises(ValueError):
+        weibull.apply_by_sectors(df, lambda f: f)
+    made = weibull.apply_by_sectors(df, lambda f: f.groupby(["source", "sector"], as_index=False).agg(M=("M", "sum")), schema="source string, sector double, M double")
+    assert sorted(tuple(x) for x in made.collect()) == [("a", 0.0, 4.0), ("b", 90.0, 2.0)]
+
+
+def test_shared_folder_is_asked_for_off_one_machine(spark):
+    from zephyrine import session
+
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Session(master))
+    for master in ("local", "local[4]"):
+        assert session.shared_dir(Session(master)).startswith("file:")
+    plain = spark.range(10).selectExpr("id", "id * 2 as x")
+    assert session.settled(plain) is plain and session.settled(plain.groupBy("x").count()).count() == 10

@@ -102,7 +102,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compare_stats_wind", shown(stats_sql(pairs_sql(SQL["wind"], "ref")), LONG))
 def _(spark, sf_dir):
-    return stats.compare_stats(align.pairs(fixtures.wind(spark), "ref"))
+    return stats.compare_stats(align.pairs(fixtures.wind(spark, sf_dir), "ref"))
 
 
 MATCH = "t AS (SELECT time FROM s WHERE M IS NOT NULL OR Dir IS NOT NULL GROUP BY time HAVING count(DISTINCT source) = (SELECT count(DISTINCT source) FROM s))"
@@ -155,7 +155,7 @@ FREQ = "d AS (SELECT source, time, date_diff('minute', lag(time) OVER (PARTITION
 
 @query("deduce_frequency", shown(f"WITH s AS ({SQL['wind']} UNION ALL {SQL['hourly']} UNION ALL {SQL['daily']}), {FREQ} SELECT * FROM f", "source:s freq_min:i"))
 def _(spark, sf_dir):
-    return align.deduce_frequency(fixtures.wind(spark).unionByName(fixtures.hourly(spark, sf_dir)).unionByName(fixtures.daily(spark, sf_dir)))
+    return align.deduce_frequency(fixtures.wind(spark, sf_dir).unionByName(fixtures.hourly(spark, sf_dir)).unionByName(fixtures.daily(spark, sf_dir)))
 
 
 GRID = "b AS (SELECT source, min(time) AS t0, max(time) AS t1 FROM s GROUP BY 1), g AS (SELECT b.source, unnest(generate_series(t0, t1, to_minutes(freq_min))) AS time, freq_min FROM b JOIN f USING (source)), r AS (SELECT g.source, g.time, s.M, s.Dir, row_number() OVER (PARTITION BY g.source ORDER BY g.time) - 1 AS index FROM g LEFT JOIN s ON g.source = s.source AND g.time = s.time)"
@@ -245,7 +245,7 @@ def _(spark, sf_dir):
 
 @query("energy", shown(f"SELECT source, time, power*10/60 AS energy FROM ({_spline_sql('SELECT source, time, M AS x FROM (' + SQL['wind'] + ')')})", "source:s time:s energy:d"))
 def _(spark, sf_dir):
-    w = fixtures.wind(spark)
+    w = fixtures.wind(spark, sf_dir)
     freq = align.deduce_frequency(w.where("source = 'ref'"), 40).first()["freq_min"]
     return w.select("source", "time", wind.derive(w, "energy", freq_min=freq).alias("energy"))
 
@@ -365,7 +365,7 @@ def _(spark, sf_dir):
 
 @query("prepare_submission", shown(f"SELECT row_number() OVER (ORDER BY time) - 1 AS sample, time, M, CASE WHEN Dir = 0 THEN 360 ELSE Dir END AS Dir FROM ({SQL['wind']}) WHERE source = 'new'", "sample:l time:s M:d Dir:d"))
 def _(spark, sf_dir):
-    w = fixtures.wind(spark).where("source = 'new'")
+    w = fixtures.wind(spark, sf_dir).where("source = 'new'")
     return sources.prepare_submission(w.select("time", wind.derive(w, "U").alias("U"), wind.derive(w, "V").alias("V"))).withColumn("Dir", F.when(F.round("Dir", 6) == 0, 360.0).otherwise(F.col("Dir")))
 
 
@@ -425,7 +425,7 @@ _DIST = "c AS (SELECT source, CAST(floor(M) AS BIGINT) AS b, CAST(floor((Dir + 1
 
 @query("distribution", shown(f"WITH s AS ({SQL['wind']}), {_DIST} SELECT * FROM d", "source:s speed:d direction:d n:i"))
 def _(spark, sf_dir):
-    return histogram.distribution(fixtures.wind(spark))
+    return histogram.distribution(fixtures.wind(spark, sf_dir))
 
 
 _POP = "mx AS (SELECT max(speed) AS top FROM d), f AS (SELECT x.source, b + 0.5 AS speed, direction FROM (SELECT DISTINCT source, direction FROM d) x CROSS JOIN (SELECT unnest(range(CAST(floor(top) AS BIGINT) + 1)) AS b FROM mx)), pop AS (SELECT f.source, f.speed, f.direction, CASE WHEN n > 15 THEN 100.0*n ELSE 0 END / sum(n) OVER (PARTITION BY f.source) AS population FROM f LEFT JOIN d ON f.source = d.source AND f.speed = d.speed AND f.direction = d.direction)"
@@ -433,17 +433,17 @@ _POP = "mx AS (SELECT max(speed) AS top FROM d), f AS (SELECT x.source, b + 0.5
 
 @query("bin_population", shown(f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP} SELECT * FROM pop", "source:s speed:d direction:d population:d"))
 def _(spark, sf_dir):
-    return histogram.bin_population(histogram.distribution(fixtures.wind(spark)))
+    return histogram.bin_population(histogram.distribution(fixtures.wind(spark, sf_dir)))
 
 
 @query("compare_tabfiles", shown(stats_sql(f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP}, p AS (SELECT b.source, 'TAB_pop' AS var, a.population AS ref, b.population AS new FROM pop a JOIN pop b ON a.speed = b.speed AND a.direction = b.direction WHERE a.source = 'ref' AND b.source <> 'ref')"), LONG))
 def _(spark, sf_dir):
-    return histogram.compare_tabfiles(fixtures.wind(spark), "ref")
+    return histogram.compare_tabfiles(fixtures.wind(spark, sf_dir), "ref")
 
 
 @query("apply_by_sectors", shown(f"SELECT source, CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16 * 22.5 AS sector, avg(M) AS M, count(*) AS n FROM ({SQL['wind']}) GROUP BY 1, 2", "source:s sector:d M:d n:l"))
 def _(spark, sf_dir):
-    return weibull.apply_by_sectors(fixtures.wind(spark), {"M": F.avg("M"), "n": F.count(F.lit(1))})
+    return weibull.apply_by_sectors(fixtures.wind(spark, sf_dir), {"M": F.avg("M"), "n": F.count(F.lit(1))})
 
 
 # --- cycles
@@ -455,20 +455,20 @@ def _cycle_sql(series: str, expr: str = "avg(M)", least: str = "count(M) > 20*6"
 
 @query("seasonal_daily_cycle", shown(_cycle_sql("wind"), "source:s month:i hour:i M:d Dir:d count:l"))
 def _(spark, sf_dir):
-    return cycles.seasonal_daily_cycle(fixtures.wind(spark))
+    return cycles.seasonal_daily_cycle(fixtures.wind(spark, sf_dir))
 
 
 for _stat, _expr in (("median", "median(M)"), ("max", "max(M)"), ("std", "stddev_samp(M)"), ("q0.9", "quantile_cont(M, 0.9)")):
-    QUERIES[f"cycle_{_stat}"] = lambda spark, sf_dir, s=_stat: rounded(cycles.seasonal_daily_cycle(fixtures.wind(spark), ["M"], stat=s))
+    QUERIES[f"cycle_{_stat}"] = lambda spark, sf_dir, s=_stat: rounded(cycles.seasonal_daily_cycle(fixtures.wind(spark, sf_dir), ["M"], stat=s))
     ORACLES[f"cycle_{_stat}"] = shown(_cycle_sql("wind", _expr), "source:s month:i hour:i M:d count:l")
 
 
 @query("cycle_normalized", shown(f"SELECT *, 100*(M/avg(M) OVER (PARTITION BY source) - 1) AS x FROM ({_cycle_sql('wind')})".replace("SELECT *,", "SELECT source, month, hour, count,"), "source:s month:i hour:i x:d count:l"))
 def _(spark, sf_dir):
-    return cycles.seasonal_daily_cycle(fixtures.wind(spark), normalized=True).withColumnRenamed("M", "x")
+    return cycles.seasonal_daily_cycle(fixtures.wind(spark, sf_dir), normalized=True).withColumnRenamed("M", "x")
 
 
-def _compare_cycle_sql() -> str:
+def _cycle_pairs_sql() -> str:
     cells = f"WITH c0 AS ({_cycle_sql('wind')})"
     parts, ctes = [], []
     for norm in ("", "_norm"):
@@ -479,13 +479,13 @@ def _compare_cycle_sql() -> str:
             name = f"g{norm}{kind}"
             ctes.append(f"{name} AS (SELECT source, {by}, avg(M) AS M FROM {table} GROUP BY source, {by})")
             parts.append(f"SELECT n.source, 'M{norm}{kind}' AS var, r.M AS ref, n.M AS new FROM {name} n JOIN {name} r USING ({by}) WHERE r.source = 'ref' AND n.source <> 'ref' AND r.M IS NOT NULL AND n.M IS NOT NULL")
-    # the means of normalized cells are zero but for rounding, so their ratio says nothing
-    return stats_sql(f"{cells}, {', '.join(ctes)}, p AS ({' UNION ALL '.join(parts)})", tail="SELECT * FROM m WHERE value IS NOT NULL AND NOT (metric = 'factor' AND var LIKE '%norm%')")
+    return f"{cells}, {', '.join(ctes)}, p AS ({' UNION ALL '.join(parts)})"
 
 
-@query("compare_cycle", shown(_compare_cycle_sql(), LONG))
+# the means of normalized cells are zero but for rounding, so their ratio says nothing
+@query("compare_cycle", shown(stats_sql(_cycle_pairs_sql(), tail="SELECT * FROM m WHERE value IS NOT NULL AND NOT (metric = 'factor' AND var LIKE '%norm%')"), LONG))
 def _(spark, sf_dir):
-    return cycles.compare_seasonal_daily_cycle(fixtures.wind(spark), "ref", ["M"]).where("not (metric = 'factor' and var like '%norm%')")
+    return cycles.compare_seasonal_daily_cycle(fixtures.wind(spark, sf_dir), "ref", ["M"]).where("not (metric = 'factor' and var like '%norm%')")
 
 
 # --- Weibull
@@ -510,17 +510,17 @@ def _bisect_sql(source: str, bins: str) -> str:
 
 @query("weibull_histogram", shown(_bisect_sql(SQL["wind"], "floor(M) + 0.5") + " SELECT * FROM fit", FIT))
 def _(spark, sf_dir):
-    return weibull.weibull_fit(fixtures.wind(spark).where("M > 0"), ["source"])
+    return weibull.weibull_fit(fixtures.wind(spark, sf_dir).where("M > 0"), ["source"])
 
 
 @query("weibull_values", shown(_bisect_sql(f"SELECT source, round(M, 2) AS M FROM ({SQL['wind']})", "M") + " SELECT * FROM fit", "source:s k:d A:d"))
 def _(spark, sf_dir):
-    return weibull.weibull_fit(fixtures.wind(spark).withColumn("M", F.round("M", 2)).where("M > 0"), ["source"], method="values").select("source", "k", "A")
+    return weibull.weibull_fit(fixtures.wind(spark, sf_dir).withColumn("M", F.round("M", 2)).where("M > 0"), ["source"], method="values").select("source", "k", "A")
 
 
 @query("weibull_sectors", shown(_bisect_sql(f"SELECT concat(source, CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16) AS source, M FROM ({SQL['wind']})", "floor(M) + 0.5") + " SELECT * FROM fit", FIT))
 def _(spark, sf_dir):
-    fits = weibull.weibull_ds(fixtures.wind(spark).where("M > 0"), sectors=16).where("sector is not null")
+    fits = weibull.weibull_ds(fixtures.wind(spark, sf_dir).where("M > 0"), sectors=16).where("sector is not null")
     return fits.withColumn("source", F.concat("source", (F.col("sector") / 22.5).cast("int").cast("string"))).drop("sector")
 
 
@@ -529,7 +529,7 @@ def _(spark, sf_dir):
   x AS (SELECT *, k/A*pow(b/A, k - 1)*exp(-pow(b/A, k)) AS new FROM d)
   SELECT source, sum(b*new)/sum(new) - any_value(xbar) AS fit_mbias, sqrt(avg((new - ref)*(new - ref))) AS fit_rmse, sqrt(avg(abs(new - ref))) AS fit_MAE, list_avg(list_transform(list_zip(list_sort(list(ref)), list_sort(list(new))), lambda y: abs(y[1] - y[2]))) AS fit_emd, pow(corr(ref, new), 2) AS fit_r2 FROM x GROUP BY 1""", "source:s fit_mbias:d fit_rmse:d fit_MAE:d fit_emd:d fit_r2:d"))
 def _(spark, sf_dir):
-    w = fixtures.wind(spark)
+    w = fixtures.wind(spark, sf_dir)
     return weibull.weibull_quality(w, weibull.weibull_fit(w, ["source"], method="params"), ["source"])
 
 
@@ -562,12 +562,12 @@ def _(spark, sf_dir):
 
 @query("compare_ramps", shown(stats_sql(f"{_ramp_sql('wind')}, p AS (SELECT n.source, 'M-ramp' AS var, a.\"M-ramp\" AS ref, n.\"M-ramp\" AS new FROM rr n JOIN rr a ON n.time = a.time WHERE a.source = 'ref' AND n.source <> 'ref')"), LONG))
 def _(spark, sf_dir):
-    return ramps.compare_ramps(fixtures.wind(spark), "ref", ["M"])
+    return ramps.compare_ramps(fixtures.wind(spark, sf_dir), "ref", ["M"])
 
 
 @query("compare_noise", shown(stats_sql(f"{_noise_sql('wind')}, p AS (SELECT n.source, 'M-noise' AS var, a.\"M-noise\" AS ref, n.\"M-noise\" AS new FROM n2 n JOIN n2 a ON n.time = a.time WHERE a.source = 'ref' AND n.source <> 'ref' AND a.\"M-noise\" IS NOT NULL AND n.\"M-noise\" IS NOT NULL)"), LONG))
 def _(spark, sf_dir):
-    return ramps.compare_noise(fixtures.wind(spark), "ref", ["M"])
+    return ramps.compare_noise(fixtures.wind(spark, sf_dir), "ref", ["M"])
 
 
 # --- quality
@@ -596,7 +596,7 @@ def _(spark, sf_dir):
 
 @query("deduced_stats", shown(f"{_deduced_sql(_ST)} SELECT * FROM dd", LONG))
 def _(spark, sf_dir):
-    return score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark), "ref")))
+    return score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark, sf_dir), "ref")))
 
 
 _QUALITY = f"{_deduced_sql(_ST)}, rl(var, metric, perfect, good, weight) AS (VALUES {_RULES}), q AS (SELECT s.source, rl.*, value, 10/(perfect - good)*(value - good) AS quality_index, 10/(perfect - good)*(value - good)*weight AS quality_weighted FROM rl CROSS JOIN (SELECT DISTINCT source FROM st) s LEFT JOIN dd ON dd.source = s.source AND dd.var = rl.var AND dd.metric = rl.metric)"
@@ -604,12 +604,12 @@ _QUALITY = f"{_deduced_sql(_ST)}, rl(var, metric, perfect, good, weight) AS (VAL
 
 @query("compute_quality", shown(f"{_QUALITY} SELECT * FROM q", "source:s var:s metric:s perfect:d good:d weight:d value:d quality_index:d quality_weighted:d"))
 def _(spark, sf_dir):
-    return score.compute_quality(score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark), "ref"))))
+    return score.compute_quality(score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark, sf_dir), "ref"))))
 
 
 @query("total_quality", shown(f"{_QUALITY} SELECT source, sum(quality_weighted)/sum(weight) FILTER (quality_index IS NOT NULL) AS quality, count(quality_index) AS rules_used, count(*) - count(quality_index) AS rules_missing FROM q GROUP BY 1", "source:s quality:d rules_used:l rules_missing:l"))
 def _(spark, sf_dir):
-    return score.total_quality(score.compute_quality(score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark), "ref")))))
+    return score.total_quality(score.compute_quality(score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark, sf_dir), "ref")))))
 
 
 @query("all_sources_stats", shown(stats_sql(pairs_sql(f"WITH s0 AS ({SQL['hourly']}), t0 AS (SELECT time FROM s0 GROUP BY time HAVING count(*) = (SELECT count(DISTINCT source) FROM s0)) SELECT source, time, M, Dir, -M*sin(radians(Dir)) AS U, -M*cos(radians(Dir)) AS V FROM s0 JOIN t0 USING (time)", "view", ("M", "Dir", "U", "V"))), LONG))
@@ -617,9 +617,82 @@ def _(spark, sf_dir):
     return score.all_sources_stats(fixtures.hourly(spark, sf_dir), "view", ("M", "Dir", "U", "V"), periods=())
 
 
-@query("score")
+ENERGY = "SELECT source, time, M AS energy FROM ({})"
+_SUMS = "SELECT source, var, unnest(['sum', 'bias_sum', 'SAE']) AS metric, unnest([sum(new), sum(new) - sum(ref), sum(abs(new - ref))]) AS value FROM p GROUP BY 1, 2"
+
+
+@query("compare_cumulative", shown(stats_sql(pairs_sql(ENERGY.format(SQL["daily"]), "1-URGENT", ("energy",)), tail=f"SELECT * FROM m WHERE value IS NOT NULL UNION ALL {_SUMS}"), LONG))
+def _(spark, sf_dir):
+    return stats.compare_stats(align.pairs(fixtures.daily(spark, sf_dir).select("source", "time", F.col("M").alias("energy")), "1-URGENT"))
+
+
+@query("stats_cumulative_monthly", shown(f"""{pairs_sql(ENERGY.format(SQL['daily']), '1-URGENT', ('energy',))}, r AS (SELECT source, var, date_trunc('month', time) AS time, sum(ref) AS ref, sum(new) AS new FROM p GROUP BY 1, 2, 3),
+  a AS (SELECT source, var, count(*) AS n, corr(new, ref) AS c, sqrt(avg((new - ref)*(new - ref))) AS rmse, avg(abs(new - ref)) AS mae, sum(abs(new - ref)) AS sae, list_avg(list_transform(list_zip(list_sort(list(ref)), list_sort(list(new))), lambda x: abs(x[1] - x[2]))) AS emd FROM r GROUP BY 1, 2)
+  SELECT source, var, unnest(['length_monthly', 'r2_monthly', 'rmse_monthly', 'MAE_monthly', 'SAE_monthly', 'EMD_monthly']) AS metric, unnest([CAST(n AS DOUBLE), c*c, rmse, mae, sae, emd]) AS value FROM a""", LONG))
+def _(spark, sf_dir):
+    return resample.stats_in_resampling(align.pairs(fixtures.daily(spark, sf_dir).select("source", "time", F.col("M").alias("energy")), "1-URGENT"), "monthly", None)
+
+
+@query("compare_distribution_only", shown(stats_sql(pairs_sql(GAPS.format(SQL["daily"]), "1-URGENT"), emd=False, tail="SELECT * FROM m WHERE value IS NOT NULL AND metric NOT IN ('MAE', 'rmse', 'r2', 'lfit_slope', 'lfit_intercept') AND metric NOT LIKE 'td_%' UNION ALL SELECT source, var, 'bias_length', CAST(count(new) - count(ref) AS DOUBLE) FROM p GROUP BY 1, 2"), LONG))
+def _(spark, sf_dir):
+    return stats.compare_stats(align.pairs(gaps(fixtures.daily(spark, sf_dir)), "1-URGENT"), distribution_only=True, distance=False)
+
+
+def _sector_frame(frame):
+    import pandas as pd
+
+    first = frame.iloc[0]
+    return pd.DataFrame({"source": [first["source"]], "sector": [first["sector"]], "M": [frame["M"].mean()], "n": [len(frame)]})
+
+
+@query("apply_by_sectors_function", ORACLES["apply_by_sectors"])
+def _(spark, sf_dir):
+    return weibull.apply_by_sectors(fixtures.wind(spark, sf_dir), _sector_frame, schema="source string, sector double, M double, n long")
+
+
+def _span(frame):
+    import pandas as pd
+
+    return pd.DataFrame({"source": [frame["source"].iloc[0]], "span": [frame["M"].max() - frame["M"].min()]})
+
+
+@query("apply_groups", shown(f"SELECT source, max(M) - min(M) AS span FROM ({SQL['hourly']}) GROUP BY 1", "source:s span:d"))
+def _(spark, sf_dir):
+    return weibull.apply_groups(fixtures.hourly(spark, sf_dir), _span, "source string, span double", ["source"])
+
+
+@query("resample_function", shown(f"SELECT source, date_trunc('day', time) AS time, CASE WHEN count(*) >= 21 THEN max(M) END AS M FROM ({SQL['hourly']}) GROUP BY 1, 2", "source:s time:s M:d"))
+def _(spark, sf_dir):
+    return resample.resample(fixtures.hourly(spark, sf_dir), "day", ["M"], least=21, function=F.max)
+
+
+def _score_sql() -> str:
+    """Every part of the score by its own SQL, over one written series: variables, histogram, fits by sector, cycles, ramps, noise and periods; then what is deduced, and the rules."""
+    parts = ("M", "Dir", "power", "U", "V")
+    spline = _spline_sql("SELECT source, time, M, Dir, M AS x FROM wnd")
+    main = f"vars AS MATERIALIZED (SELECT source, time, M, Dir, power, -M*sin(radians(Dir)) AS U, -M*cos(radians(Dir)) AS V FROM ({spline})), pm AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT n.source, '{v}' AS var, n.time, r.{v} AS ref, n.{v} AS new FROM vars n JOIN vars r ON n.time = r.time WHERE r.source = 'ref' AND n.source <> 'ref'" for v in parts) + ")"
+    tab = f"WITH s AS (SELECT * FROM wnd), {_DIST}, {_POP} SELECT b.source, 'TAB_pop' AS var, a.population AS ref, b.population AS new FROM pop a JOIN pop b ON a.speed = b.speed AND a.direction = b.direction WHERE a.source = 'ref' AND b.source <> 'ref'"
+    ramp = f"{_ramp_sql('wind')} SELECT n.source, 'M-ramp' AS var, a.\"M-ramp\" AS ref, n.\"M-ramp\" AS new FROM rr n JOIN rr a ON n.time = a.time WHERE a.source = 'ref' AND n.source <> 'ref'"
+    calm = f"{_noise_sql('wind')} SELECT n.source, 'M-noise' AS var, a.\"M-noise\" AS ref, n.\"M-noise\" AS new FROM n2 n JOIN n2 a ON n.time = a.time WHERE a.source = 'ref' AND n.source <> 'ref' AND a.\"M-noise\" IS NOT NULL AND n.\"M-noise\" IS NOT NULL"
+    cycle = f"{_cycle_pairs_sql()} SELECT * FROM p"
+    by_sector = "SELECT concat(source, '|', CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16) AS source, M FROM wnd"
+    fits = f"whole AS MATERIALIZED ({_bisect_sql('SELECT source, M FROM wnd', 'floor(M) + 0.5')} SELECT * FROM fit), sect AS MATERIALIZED (SELECT split_part(source, '|', 1) AS source, split_part(source, '|', 2) AS k16, k, A, count FROM ({_bisect_sql(by_sector, 'floor(M) + 0.5')} SELECT * FROM fit) WHERE count >= 10)"
+    pairs = "sp AS (SELECT n.source, unnest(['A_sector', 'k_sector']) AS var, unnest([r.A, r.k]) AS ref, unnest([n.A, n.k]) AS new, n.count AS w FROM sect n JOIN sect r ON n.k16 = r.k16 WHERE r.source = 'ref' AND n.source <> 'ref')"
+    every = " UNION ALL ".join(["SELECT source, var, ref, new FROM pm", "SELECT source, var, ref, new FROM sp", *(f"SELECT source, var, ref, new FROM ({x})" for x in (tab, ramp, calm, cycle))]).replace(SQL["wind"], "SELECT * FROM wnd")
+    periods = [f"SELECT * FROM (WITH p AS (SELECT * FROM pm), {_PERIOD.format(unit=resample.UNITS[x], least=least, p=x, e=f'({E})')})" for x, least in (("hourly", 4), ("daily", 129), ("monthly", 3758), ("yearly", 47304))]
+    weighted = "SELECT source, var, unnest(['weighted_rmse', 'weighted_MAE']) AS metric, unnest([sqrt(sum(w*(new - ref)*(new - ref))/sum(w)), sqrt(sum(w*abs(new - ref))/sum(w))]) AS value FROM sp GROUP BY source, var"
+    shape = "SELECT source, var, unnest(['mean', 'bias', 'factor']) AS metric, unnest([new, new - ref, ref/new]) AS value FROM (SELECT n.source, unnest(['A', 'k']) AS var, unnest([r.A, r.k]) AS ref, unnest([n.A, n.k]) AS new FROM whole n JOIN whole r ON r.source = 'ref' WHERE n.source <> 'ref')"
+    start = f"WITH wnd AS MATERIALIZED ({SQL['wind']}), {main}, {fits}, {pairs}, p AS MATERIALIZED ({every})"
+    whole = stats_sql(start, tail=f", st AS MATERIALIZED (SELECT * FROM m WHERE value IS NOT NULL AND NOT isnan(value) UNION ALL {' UNION ALL '.join([weighted, shape, *periods])})")
+    return f"{_deduced_sql(whole)}, rl(var, metric, perfect, good, weight) AS (VALUES {_RULES}), q AS (SELECT s.source, rl.*, value, 10/(perfect - good)*(value - good) AS quality_index, 10/(perfect - good)*(value - good)*weight AS quality_weighted FROM rl CROSS JOIN (SELECT DISTINCT source FROM st) s LEFT JOIN dd ON dd.source = s.source AND dd.var = rl.var AND dd.metric = rl.metric)"
+
+
+_SCORED = "source:s var:s metric:s perfect:d good:d weight:d value:d quality_index:d quality_weighted:d"
+
+
+@query("score", shown(f"{_score_sql()} SELECT * FROM q", _SCORED))
 def _(spark, sf_dir):
-    w = fixtures.wind(spark)
+    w = fixtures.wind(spark, sf_dir)
     return score.score(w.where("source = 'ref'").drop("source"), w.where("source = 'new'").drop("source"))[0]
 
 
@@ -780,12 +853,12 @@ def _(spark, sf_dir):
 
 @query("reindex_bins", shown(f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP.split(', pop AS')[0]} SELECT f.source, f.speed, f.direction, n FROM f LEFT JOIN d ON f.source = d.source AND f.speed = d.speed AND f.direction = d.direction", "source:s speed:d direction:d n:d"))
 def _(spark, sf_dir):
-    return histogram.reindex_bins(histogram.distribution(fixtures.wind(spark))).withColumn("n", F.col("n").cast("double"))
+    return histogram.reindex_bins(histogram.distribution(fixtures.wind(spark, sf_dir))).withColumn("n", F.col("n").cast("double"))
 
 
 @query("missing_rules", shown(f"{_deduced_sql(_ST)}, rl(var, metric, perfect, good, weight) AS (VALUES {_RULES}) SELECT var, metric FROM rl ANTI JOIN dd USING (var, metric)", "var:s metric:s"))
 def _(spark, sf_dir):
-    found = score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark), "ref")))
+    found = score.deduced_stats(stats.compare_stats(align.pairs(fixtures.wind(spark, sf_dir), "ref")))
     return score.rules(spark).join(found, ["var", "metric"], "left_anti").select("var", "metric")
 
 
@@ -794,7 +867,7 @@ _TAB = f"WITH s AS ({SQL['wind']}), {_DIST}, {_POP}, p0 AS (SELECT b.source, a.p
 
 @query("compare_tabfiles_relative", shown(f"{_TAB}, x AS (SELECT source, 100*new/ref AS v FROM p0 WHERE ref > 1) SELECT source, 'TAB_relpop' AS var, unnest(['length', 'mean', 'bias', 'rmse', 'MAE', 'std', 'max', 'q0.5']) AS metric, unnest([count(*), avg(v), avg(v) - 100, sqrt(avg((v - 100)*(v - 100))), avg(abs(v - 100)), stddev_pop(v), max(v), median(v)]) AS value FROM x GROUP BY source", LONG))
 def _(spark, sf_dir):
-    out = histogram.compare_tabfiles(fixtures.wind(spark), "ref", relative=True)
+    out = histogram.compare_tabfiles(fixtures.wind(spark, sf_dir), "ref", relative=True)
     return out.where("var = 'TAB_relpop' and metric in ('length', 'mean', 'bias', 'rmse', 'MAE', 'std', 'max', 'q0.5')")
 
 
@@ -804,7 +877,7 @@ _SECTORS = "f AS (SELECT source, CAST(floor((Dir + 11.25)/22.5) AS INTEGER) % 16
 @query("compare_weibulls_sectors", shown(f"""WITH s AS ({SQL['wind']}), {_SECTORS}, p AS (SELECT n.source, unnest(['A_sector', 'k_sector']) AS var, unnest([r.A, r.k]) AS ref, unnest([n.A, n.k]) AS new, n.count AS w FROM fit n JOIN fit r ON n.k16 = r.k16 WHERE r.source = 'ref' AND n.source <> 'ref')
   SELECT source, var, unnest(['rmse', 'r2', 'weighted_rmse', 'weighted_MAE']) AS metric, unnest([sqrt(avg((new - ref)*(new - ref))), pow(corr(new, ref), 2), sqrt(sum(w*(new - ref)*(new - ref))/sum(w)), sqrt(sum(w*abs(new - ref))/sum(w))]) AS value FROM p GROUP BY source, var""", LONG))
 def _(spark, sf_dir):
-    out = weibull.compare_weibulls(fixtures.wind(spark), "ref", sectors=16, method="params")
+    out = weibull.compare_weibulls(fixtures.wind(spark, sf_dir), "ref", sectors=16, method="params")
     return out.where("var like '%sector' and metric in ('rmse', 'r2', 'weighted_rmse', 'weighted_MAE')")
 
 
@@ -817,4 +890,4 @@ def _(spark, sf_dir):
 
 @query("circular_statistics", shown(f"SELECT source, (degrees(atan2(avg(sin(radians(Dir))), avg(cos(radians(Dir))))) + 360) % 360 AS mean, degrees(sqrt(-ln(pow(avg(sin(radians(Dir))), 2) + pow(avg(cos(radians(Dir))), 2)))) AS std FROM ({SQL['wind']}) GROUP BY source", "source:s mean:d std:d"))
 def _(spark, sf_dir):
-    return fixtures.wind(spark).groupBy("source").agg(wind.circular_mean(F.col("Dir")).alias("mean"), wind.circular_std(F.col("Dir")).alias("std"))
+    return fixtures.wind(spark, sf_dir).groupBy("source").agg(wind.circular_mean(F.col("Dir")).alias("mean"), wind.circular_std(F.col("Dir")).alias("std"))
