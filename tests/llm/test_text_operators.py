@@ -135,7 +135,8 @@ def test_stupid_backoff(docs):
                 else:
                     factor *= 0.4
         want[d, len(w), round(total, 6)] += 1
-    assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in stupid_backoff.score(docs).collect()) == want
+    for form in (stupid_backoff.score, stupid_backoff.by_rows):
+        assert collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in form(docs).collect()) == want
 
 
 def shingles(text, size=5):
@@ -406,4 +407,8 @@ def test_ties(spark):
 
 def test_empty_tables(spark):
     none = empty(spark)
+    model = langid.train(none)
+    assert langid.predict(spark, none, model, keep=[F.col("doc_id")]).count() == stupid_backoff.by_rows(none).count() == 0
+    assert pii.find(spark, none, pii.train(none), keep=["doc_id"]).count() == 0
+    assert decontam.clean(none, spark.createDataFrame([(1, "x y")], "item_id long, text string")).count() == 0
     assert substring.repeated(none).count() == stupid_backoff.score(none).count() == jaccard.similar(none).count() == packing.decompose(none, tokenizer_path()).count() == 0

@@ -1,15 +1,21 @@
-"""Language-model scoring by stupid backoff: counts of all n-grams of the corpus in tables by hash, joined to each document's n-grams, and summed by document."""
+"""Language-model scoring by stupid backoff: counts of all n-grams of the corpus in tables by hash, joined to each document's n-grams, and summed by document.
+
+`score` moves the n-grams of a part of the corpus in sorted, packed blocks, a shard of the tables being one hash range; `by_rows` is the same relation with a row for each n-gram, for inputs that have the disk for it.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from zephyrine.session import settled
 
 from .blocks import Corpus, totals
 from .words import Stream, as_bytes, join_keys, mix
 
-#: Longest n-gram, factor of a step back, and the count from which an n-gram of two words or more is in its table.
+#: Longest n-gram, factor of a step back, and the count from which an n-gram of two words or more is in its table: one that is there once is there in the very document that is scored, and says nothing of it.
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 _ALL = np.array([0], np.uint64)
 
@@ -64,3 +70,24 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: i
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(stream.lengths, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "log_score"])
 
     return corpus.read(corpus.ask(lambda t: _keys(t, order)), use, f"doc_id {corpus.id_type}, n_words bigint, log_score double")
+
+
+def by_rows(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score: each n-gram is a row of its document and position, joined to the counts by its 64-bit key."""
+    words = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), text_col)).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(i, F.lit(order))), lambda n: F.struct(i.alias("pos"), n.alias("n"), F.xxhash64(n, F.slice("w", i - n + 1, n)).alias("key")))))
+    said = rows.where(F.size("w") > 0).select("row", F.inline(grams))
+    tables = said.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    counted = said.join(tables, "key").groupBy("row", "pos").agg(*(F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"f{n}") for n in range(1, order + 1)))
+    every = counted.agg(F.count(F.lit(1))).first()[0]
+    before = Window.partitionBy("row").orderBy("pos")
+    counted = counted.withColumns({f"b{n}": F.lag(f"f{n}").over(before) for n in range(1, order)})
+    value, steps = F.log10(F.col("f1") / F.lit(max(every, 1))), F.lit(0)
+    for n in range(2, order + 1):
+        there, hit = F.col(f"f{n}").isNotNull(), F.col(f"f{n}") >= least
+        value = F.when(there & hit, F.log10(F.col(f"f{n}") / F.col(f"b{n - 1}"))).otherwise(value)
+        steps = F.when(there & hit, 0).when(there, steps + 1).otherwise(steps)
+    summed = counted.groupBy("row").agg(F.sum(value + steps * float(np.log10(alpha))).alias("log_score"))
+    sizes = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"))
+    return sizes.join(summed, "row", "left").select("doc_id", "n_words", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
