@@ -20,15 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id (null the last); of rows that share it, the first by a 128-bit digest of the text, and one of equal ones. Documents without words are no group, and stay."""
-    rows = docs.select(*COLUMNS)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5("text")).alias("digest"))
+    """Of each group of similar documents the one with the least doc_id (null the last); of rows that share it, the first by a 128-bit digest of id and text, and one of equal ones. Documents without words are no group, and stay."""
+    # a digest of id and text stands for a row, so that one shuffle of the texts serves the join and the equal rows
+    rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"))))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     groups = jaccard.similar(rows.select(key.alias("key"), "text"), id_col="key").where("set_id is not null and doc_id = component_id")
-    kept = groups.select(F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.digest").alias("kept_digest")).distinct()
+    kept = groups.select(F.col("doc_id.digest").alias("digest")).distinct()
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    words = rows.where(some).withColumn("digest", F.unhex(F.md5("text")))
-    chosen = words.join(kept, words["doc_id"].eqNullSafe(kept["kept_id"]) & (words["digest"] == kept["kept_digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    return chosen.select(*COLUMNS).unionByName(rows.where(~some))
+    chosen = rows.where(some).join(kept, "digest", "left_semi").dropDuplicates(["digest"])
+    return chosen.select(*COLUMNS).unionByName(rows.where(~some).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
