@@ -764,11 +764,16 @@ def _(spark, sf_dir):
     return blend.rmse(_predictions(spark, sf_dir), "y", "a")
 
 
-@query("optimize_weights")
+# the least error of all blends on a grid of weights; the search has to come within half a hundredth of it
+_GRID = "SELECT a, b, 1 - a - b AS c FROM (SELECT unnest(range(101))/100.0::DOUBLE AS a) CROSS JOIN (SELECT unnest(range(101))/100.0::DOUBLE AS b) WHERE a + b <= 1"
+
+
+@query("optimize_weights", shown(f"WITH e AS (SELECT avg((a - y)*(a - y)) AS aa, avg((b - y)*(b - y)) AS bb, avg((c - y)*(c - y)) AS cc, avg((a - y)*(b - y)) AS ab, avg((a - y)*(c - y)) AS ac, avg((b - y)*(c - y)) AS bc FROM ({_PRED})) SELECT round(min(sqrt(g.a*g.a*aa + g.b*g.b*bb + g.c*g.c*cc + 2*g.a*g.b*ab + 2*g.a*g.c*ac + 2*g.b*g.c*bc)), 2) AS rmse, TRUE AS within FROM e CROSS JOIN ({_GRID}) g", "rmse:d within:s"))
 def _(spark, sf_dir):
     rows = _predictions(spark, sf_dir)
     found = blend.WeightOptimizer(seed=1).fit(rows, "y", ["a", "b", "c"])
-    return blend.rmse(found.predict(rows), "y", "blend").withColumns({n: F.lit(w) for n, w in zip("abc", found.get_weights(), strict=True)})
+    least, most = min(found.get_weights()), max(found.get_weights())
+    return blend.rmse(found.predict(rows), "y", "blend").select(F.round("rmse", 2).alias("rmse"), F.lit(found.LOW <= least and most <= found.HIGH).alias("within"))
 
 
 @query("kde_grid", shown(f"WITH s AS (SELECT source, floor(M*10)/10 AS v FROM ({SQL['hourly']})), n AS (SELECT source, count(*) AS n FROM s GROUP BY 1), c AS (SELECT source, v, count(*) AS c FROM s GROUP BY 1, 2), g AS (SELECT unnest(range(61)) * 0.5 AS x) SELECT c.source, x, sum(c*exp(-(x - v)*(x - v)/(2*0.7*0.7)))/(any_value(n)*0.7*sqrt(2*pi())) AS density FROM c CROSS JOIN g JOIN n ON c.source = n.source GROUP BY 1, 2", "source:s x:d density:d"))
