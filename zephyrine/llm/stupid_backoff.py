@@ -33,31 +33,51 @@ def _grams(stream: Stream, order: int) -> tuple[list[np.ndarray], list[np.ndarra
     return keys, ok
 
 
-def _keys(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    stream = Stream(as_bytes(table.column("text")))
-    keys, ok = _grams(stream, order)
-    every = np.concatenate([k[o] for k, o in zip(keys, ok, strict=True)])
-    return np.concatenate((_ALL, every)), np.concatenate(([len(stream.ids)], np.ones(len(every), np.int64)))
+class Counts:
+    """Counts of a part's n-grams, by length. Single words and pairs are asked for first; a longer n-gram only where both of its parts that are a word shorter are in the tables, as it can't be there without them."""
+
+    def __init__(self, table: pa.Table, order: int, least: int):
+        self.stream, self.least = Stream(as_bytes(table.column("text"))), least
+        self.keys, self.ok = _grams(self.stream, order)
+        self.counts: list[np.ndarray] = []
+        self.every = 1
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(keys to ask for next, how often each is there, for each length the places that they are of)."""
+        n = len(self.counts)
+        if not n:
+            where = self.ok[:2]
+            keys = np.concatenate([_ALL, *(k[o] for k, o in zip(self.keys, where, strict=False))])
+            return keys, np.concatenate(([len(self.stream.ids)], np.ones(len(keys) - 1, np.int64))), where
+        there = self.counts[n - 1] >= self.least
+        at = self.ok[n] & there
+        at[1:] &= there[:-1]
+        return self.keys[n][at], np.ones(int(at.sum()), np.int64), [at]
+
+    def learn(self, replies: pa.Table, rounds: list[int]) -> Counts:
+        for number in rounds:
+            keys, _, where = self.wanted()
+            got = totals(keys, replies.filter(pa.compute.equal(replies.column("asked"), number)))
+            if not self.counts:
+                self.every, got = max(int(got[0]), 1), got[1:]
+            for at in where:
+                c = np.zeros(len(at), np.int64)
+                c[at], got = got[: int(at.sum())], got[int(at.sum()) :]
+                self.counts.append(c)
+        return self
 
 
 def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words and log_score (decimal logarithm of the product of all words' scores).
 
-    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word's score is f(n-gram) / f(its first n - 1 words) for the longest n-gram that ends at it, lies in the document and has a count of at least `least`; each step back costs the factor alpha, and a single word scores f(word) / number of all words. Counts are over all documents, each row counted. Null and empty texts have no words and log_score 0. Null ids stay null; repeated rows are scored each; other columns are not read.
+    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word's score is f(n-gram) / f(its first n - 1 words) for the longest n-gram that ends at it, lies in the document and has a count of at least `least`; each step back costs the factor alpha, and a single word scores f(word) / number of all words. Counts are over all documents, each row counted. Null and empty texts have no words and log_score 0. Null ids stay null, and ids keep their type; repeated rows are scored each; other columns are not read; an empty table gives no rows.
     """
     corpus = Corpus(docs, id_col, text_col)
 
     def use(table: pa.Table, replies: pa.Table) -> pa.Table:
-        stream = Stream(as_bytes(table.column("text")))
-        keys, ok = _grams(stream, order)
-        got = totals(np.concatenate([_ALL, *(k[o] for k, o in zip(keys, ok, strict=True))]), replies) if len(table) else np.zeros(1, np.int64)
-        every, at, counts = max(int(got[0]), 1), 1, []
-        for o in ok:
-            c = np.zeros(len(o), np.int64)
-            c[o] = got[at : at + int(o.sum())]
-            at += int(o.sum())
-            counts.append(c)
-        value = np.log10(np.maximum(counts[0], 1) / every)
+        found = Counts(table, order, least).learn(replies, rounds)
+        counts, ok, stream = found.counts, found.ok, found.stream
+        value = np.log10(np.maximum(counts[0], 1) / found.every)
         steps = np.zeros(len(value))
         for n in range(2, order + 1):
             before = np.zeros(len(value), np.int64)
@@ -69,7 +89,12 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: i
         sums = np.bincount(stream.doc_of(), value, len(stream.lengths)) if len(value) else np.zeros(len(stream.lengths))
         return pa.Table.from_arrays([table.column("doc_id"), pa.array(stream.lengths, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "log_score"])
 
-    return corpus.read(corpus.ask(lambda t: _keys(t, order)), use, f"doc_id {corpus.id_type}, n_words bigint, log_score double")
+    rounds = [0, *range(3, order + 1)]
+    replies = corpus.ask(lambda t: Counts(t, order, least).wanted()[:2]).withColumn("asked", F.lit(0))
+    for i, n in enumerate(rounds[1:], 1):
+        more = corpus.ask(lambda t, r, n=n, i=i: Counts(t, n, least).learn(r, rounds[:i]).wanted()[:2], replies)
+        replies = replies.unionByName(more.withColumn("asked", F.lit(n)))
+    return corpus.read(replies, use, f"doc_id {corpus.id_type}, n_words bigint, log_score double")
 
 
 def by_rows(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
