@@ -111,7 +111,8 @@ def number(df: DataFrame, by: str, name: str, *, start: int = 0) -> DataFrame:
     counts = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__day", F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rows = df.withColumn("__day", day).withColumn("__i", F.row_number().over(Window.partitionBy("__day").orderBy(by)))
-    return rows.join(before, rows["__day"].eqNullSafe(before["__day"])).select((F.col("__before") + F.col("__i") - 1 + start).alias(name), *df.columns)
+    # a row for each day of the calendar: some ten thousand at most
+    return rows.join(F.broadcast(before), rows["__day"].eqNullSafe(before["__day"])).select((F.col("__before") + F.col("__i") - 1 + start).alias(name), *df.columns)
 
 
 def write_parquet(df: DataFrame, path: str, **options) -> None:
