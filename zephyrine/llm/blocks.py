@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from zephyrine.session import settled
 
 #: Bytes of text of a part and of a shard: they grow with the root of the input, so that a packed block keeps its size, up to what a task can hold.
-LEAST, MOST, BLOCK = 6 << 20, 48 << 20, 24 << 10
+LEAST, MOST, BLOCK = 10 << 20, 48 << 20, 24 << 10
 SENT = "part bigint, shard int, keys binary, more binary, counts binary"
 REPLY = "part bigint, shard int, totals binary"
 
