@@ -10,7 +10,7 @@ HOURLY = """SELECT event_type AS source, {hour} AS time, avg(value)/6.0 AS M,
 DAILY = """SELECT o_orderpriority AS source, {day} AS time, avg(o_totalprice)/30011.0 AS M,
   CAST(CAST(sum(o_orderkey*37) AS BIGINT) % 3600 AS DOUBLE)/10.0 AS Dir FROM orders GROUP BY 1, 2"""
 
-#: The same series as DuckDB sees them: hourly and daily from tables, wind from formulas (10-minute steps of two years for each 15,000 orders, with gaps).
+#: The same series as DuckDB sees them: hourly and daily from tables, wind from formulas (10-minute steps of two years for each 75,000 orders (at least once), with gaps).
 SQL_HOURLY = HOURLY.format(hour="date_trunc('hour', ts)")
 SQL_DAILY = DAILY.format(day="date_trunc('day', o_orderdate)")
 SQL_WIND = """SELECT source, time, M, CASE WHEN d >= 360 THEN d - 360 ELSE d END AS Dir FROM (
@@ -19,7 +19,7 @@ SQL_WIND = """SELECT source, time, M, CASE WHEN d >= 360 THEN d - 360 ELSE d END
       SELECT range AS i, TIMESTAMP '2020-01-01' + to_minutes(10*range) AS time,
         8 + 3*sin(2*pi()*range/144.0::DOUBLE) + 2*sin(2*pi()*range/52560.0::DOUBLE) + ((range*7919)%1000)/1000.0::DOUBLE*2 - 1 AS m0,
         270 + 60*sin(2*pi()*range/1008.0::DOUBLE) + ((range*104729)%360)/12.0::DOUBLE AS d0
-      FROM (SELECT unnest(range(105120*n)) AS range FROM (SELECT greatest(1, count(*)//15000) AS n FROM orders)) WHERE (range*31) % 997 >= 5)))"""
+      FROM (SELECT unnest(range(105120*n)) AS range FROM (SELECT greatest(1, count(*)//75000) AS n FROM orders)) WHERE (range*31) % 997 >= 5)))"""
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources ref and new, 104 592 rows each for every 15,000 orders: two years, and more at larger scales."""
+    """Sources ref and new, 104 592 rows each for every 75,000 orders, and once at least: two years, and more at larger scales."""
     i = F.col("id")
     two_pi = 2 * F.pi()
-    times = max(1, spark.read.parquet(f"{sf_dir}/orders.parquet").count() // 15000)
+    times = max(1, spark.read.parquet(f"{sf_dir}/orders.parquet").count() // 75000)
     rows = spark.range(105120 * times).where((i * 31) % 997 >= 5)
     m0 = 8 + 3 * F.sin(two_pi * i / 144.0) + 2 * F.sin(two_pi * i / 52560.0) + ((i * 7919) % 1000) / F.lit(1000.0) * 2 - 1
     d0 = 270 + 60 * F.sin(two_pi * i / 1008.0) + ((i * 104729) % 360) / F.lit(12.0)
