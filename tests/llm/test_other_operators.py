@@ -343,6 +343,23 @@ def test_all_trusted_documents_but_the_training_sample_set_thresholds(spark):
     assert 500 < count["train"] < 700 and count["train"] + count["held"] == 4900 and count["reject"] == 100
 
 
+def test_all_trusted_documents_are_counted_and_none_by_its_own_judge(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id doc_id", "concat('w', id, ' common') text", "'en' lang")
+    labels = spark.range(2000).selectExpr("id doc_id", "if(id < 1900, 1, 0) quality", "0 toxic")
+    counted, plain = [], kneser_ney.gram_tables
+    monkeypatch.setattr(kneser_ney, "gram_tables", lambda words, order: counted.append({r.word: r.n for r in words.collect()}) or plain(words, order))
+    out = {r.doc_id: r for r in kneser_ney.classify(df, labels, quantile=0.9, slack=1.0).collect()}
+    assert sum(c.pop("common") for c in counted) == 1900
+    assert sorted(w for c in counted for w in c) == sorted(f"w{i}" for i in range(1900))
+    fold = dict(df.select("doc_id", kneser_ney.fold_of(F.col("text"))).collect())
+    assert len(counted) == 2 and not any(f"w{i}" in counted[fold[i]] for i in range(1900))
+    limit = math.exp(np.quantile([math.log(out[i].perplexity) for i in range(1900)], 0.9))
+    assert len(out) == 2000 and all(abs(x.threshold - limit) < 1e-6 * limit for x in out.values())
+    # a single trusted text: the model of its own fold has nothing, and nobody is judged
+    alone = kneser_ney.classify(df, labels.where("doc_id in (7, 1950)")).collect()
+    assert len(alone) == 2000 and all(x.keep for x in alone) and {x.perplexity is None for x in alone} == {True, False}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]
